@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .chat import op9_chat
 from .decontaminate import op2_decontaminate
 from .fingerprints import op1_fingerprints
 from .html_text import op3_html
@@ -10,7 +11,7 @@ from .minhash import op7_minhash
 from .pii import op4_pii
 from .quality import op5_quality
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_minhash": op7_minhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_minhash": op7_minhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 #: SQL twins; the other operators have none because SQL can't express them (see tests/llm).
 ORACLES: dict[str, str] = {}
