@@ -8,11 +8,12 @@ from .decontaminate import op2_decontaminate
 from .fingerprints import op1_fingerprints
 from .html_text import op3_html
 from .minhash import op7_minhash
+from .passages import op6_passages
 from .pii import op4_pii
 from .quality import op5_quality
 from .suffixes import op8_suffixes
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 #: SQL twins; the other operators have none because SQL can't express them (see tests/llm).
 ORACLES: dict[str, str] = {}
