@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import factors
+
+
+def _entries() -> dict[str, tuple]:
+    return factors.entries()
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _entries().items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _entries().items() if sql}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["rank_ic_summary"](spark, sf_dir)
