@@ -132,7 +132,8 @@ def long_short(long: DataFrame, labels: DataFrame, groups: int = 5, least: int =
 
 
 def long_short_stats(daily: DataFrame, days: int = 252) -> DataFrame:
-    """Per factor: annual mean return, Sharpe ratio, total return, largest drawdown of the difference."""
+    """Per factor: annual mean return, Sharpe ratio, total return, largest drawdown of the difference. A
+    return of -1 or less ends the curve (its logarithm is missing)."""
     w = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     curve = daily.withColumn("nav", F.exp(F.sum(F.log1p("ls_return")).over(w)))
     curve = curve.withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
