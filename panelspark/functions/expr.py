@@ -275,14 +275,17 @@ def _sql_rank(x: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + count({x}) OVER (PARTITION BY date ORDER BY {x} NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 / count({x}) OVER (PARTITION BY date) END)"
 
 
-_day = Window.partitionBy(DATE)
+
+def _day():
+    return Window.partitionBy(DATE)
+
 
 DW: dict[str, tuple[Callable, Callable]] = {
     "rank": (lambda x: _rank(x), _sql_rank),
-    "day_scale": (lambda x: F.try_divide(x, F.sum(F.abs(x)).over(_day)), lambda x: f"({x} / nullif(sum(abs({x})) OVER (PARTITION BY date), 0))"),
-    "day_max": (lambda x: F.max(x).over(_day), lambda x: f"max({x}) OVER (PARTITION BY date)"),
-    "day_min": (lambda x: F.min(x).over(_day), lambda x: f"min({x}) OVER (PARTITION BY date)"),
-    "day_mean": (lambda x: F.avg(x).over(_day), lambda x: f"avg({x}) OVER (PARTITION BY date)"),
+    "day_scale": (lambda x: F.try_divide(x, F.sum(F.abs(x)).over(_day())), lambda x: f"({x} / nullif(sum(abs({x})) OVER (PARTITION BY date), 0))"),
+    "day_max": (lambda x: F.max(x).over(_day()), lambda x: f"max({x}) OVER (PARTITION BY date)"),
+    "day_min": (lambda x: F.min(x).over(_day()), lambda x: f"min({x}) OVER (PARTITION BY date)"),
+    "day_mean": (lambda x: F.avg(x).over(_day()), lambda x: f"avg({x}) OVER (PARTITION BY date)"),
 }
 
 

@@ -7,14 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def forward_return(panel: DataFrame, horizon: int = 1, delay: int = 0, price: str = "adj_close") -> DataFrame:
     """date, ticker, label = price[t + delay + horizon] / price[t + delay] - 1 on the panel's rows (densify
     first where tickers have gaps)."""
-    start = F.lead(price, delay).over(BY_TICKER) if delay else F.col(price)
-    return panel.select("date", "ticker", (F.try_divide(F.lead(price, delay + horizon).over(BY_TICKER), start) - 1).alias("label"))
+    start = F.lead(price, delay).over(by_ticker()) if delay else F.col(price)
+    return panel.select("date", "ticker", (F.try_divide(F.lead(price, delay + horizon).over(by_ticker()), start) - 1).alias("label"))
 
 
 def quantile_label(df: DataFrame, q: int, value: str = "label") -> DataFrame:

@@ -199,7 +199,8 @@ def one_ticker(p: pd.DataFrame) -> pd.DataFrame:
     """All recursive indicators of one ticker's bars; tickers with fewer than 50 bars give no rows."""
     p = p.dropna(subset=["high", "low", "adj_close", "volume"]).sort_values("date")
     if len(p) < LEAST_ROWS:
-        return pd.DataFrame({"date": [], "ticker": [], **{k: [] for k in RECURSIVE}})
+        none = {"date": pd.Series(dtype="object"), "ticker": pd.Series(dtype="object")}
+        return pd.DataFrame(none | {k: pd.Series(dtype="float64") for k in RECURSIVE})
     h, l, c, v = (p[x].to_numpy(np.float64) for x in ("high", "low", "adj_close", "volume"))
     slow, fast = ema(c, 26), _aligned(c, 12, 26)
     macd = fast - slow

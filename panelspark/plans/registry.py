@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factors, portfolios, research
+from . import book, factors, portfolios, research
 
 
 def _entries() -> dict[str, tuple]:
-    return factors.entries() | research.entries() | portfolios.entries()
+    return factors.entries() | research.entries() | portfolios.entries() | book.entries()
 
 
 def queries() -> dict:
