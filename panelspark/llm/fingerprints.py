@@ -28,8 +28,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str, fraction: float = FRACT
     """
     top = -(1 << 63) + int(fraction * (1 << 64))
     spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     ")
-    # each step is a column of its own, so that no lambda computes another step once per element
-    df = df.withColumn("__w", F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    # each step is a column of its own, so that no lambda computes another step once per element; explode()
+    # of a single array keeps it so when a later filter on the results is pushed down through the steps
+    df = df.withColumn("__w", F.explode(F.array(F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))))
     w = F.col("__w")
     runs = F.transform(F.sequence(F.lit(1), F.size(w) - (WIDTH - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + k if k else i) for k in range(WIDTH)]))
     whole = F.array(F.xxhash64(F.array_join(F.transform(w, lambda h: h.cast("string")), ",")))
