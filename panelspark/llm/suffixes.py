@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by blockwise suffix sorting (operator 8).
 
-Each LENGTH-byte string has an anchor, the smallest hash among its 16-byte grams, so equal strings have
+Each LENGTH-byte string has an anchor, the smallest hash among its 24-byte grams, so equal strings have
 equal anchors at equal offsets. Strings of one document that follow each other with the same anchor form
 a run; a run's bytes are its context. Only runs whose anchor occurs elsewhere too can repeat anything.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .shingles import mixed
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 #: Difference cover modulo V: every difference modulo V is one of two members.
 V = 32
@@ -32,6 +32,8 @@ V = 32
 BLOCK_BYTES, SORT_BYTES = 1 << 20, 4 << 20
 #: Merged removals are broadcast up to so many documents, else joined by a shuffle.
 BROADCAST_DOCS = 500_000
+#: Open runs are broadcast up to so many of them.
+BROADCAST_RUNS = 1_000_000
 
 
 def difference_cover(v: int) -> list[int]:
@@ -61,8 +63,8 @@ def words8(data: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of the anchor of the string at each start (0 .. len - LENGTH), and the gram hashes."""
     w = words8(data)
-    h = mixed(w[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8:] + np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = h[: len(data) - GRAM + 1]
+    n = len(data) - GRAM + 1
+    h = mixed(w[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8 : n + 8] + np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ w[16 : n + 16] * np.uint64(0xD6E8FEB86659FD93))
     bits = np.uint64(max(1, int(len(h)).bit_length()))
     key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     n = len(h) - SPAN + 1  # starts
@@ -74,8 +76,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), h
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, first start, number of starts) of a text's runs. A very long text is
+def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, context hash, first start, number of starts, anchor's offset) of a text's runs. A very long text is
     read in pieces that overlap; a run that a cut divides is two runs."""
     out = []
     for low in range(0, max(1, len(text) - LENGTH + 1), BLOCK_BYTES):
@@ -87,14 +89,14 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = np.diff(np.append(first, len(at)))
         digest, view = xxhash.xxh3_64_intdigest, memoryview(piece)
         own = [digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())]
-        out.append((h[at[first]], np.array(own, np.uint64), first + low, n))
+        out.append((h[at[first]], np.array(own, np.uint64), first + low, n, at[first] - first))
     if not out:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-RUN = np.dtype([("hash", "u8"), ("key", "u8"), ("doc", "i8"), ("sub", "i4"), ("at", "i4"), ("n", "i2")])
+RUN = np.dtype([("hash", "u8"), ("key", "u8"), ("doc", "i8"), ("sub", "i4"), ("at", "i4"), ("n", "i2"), ("off", "u1")])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -113,9 +115,9 @@ def scattered(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             found = []
             for doc, sub, text in zip(batch.column("doc"), batch.column("sub"), batch.column("text"), strict=True):
-                h, key, at, n = runs(text.as_py())
+                h, key, at, n, off = runs(text.as_py())
                 r = np.empty(len(h), RUN)
-                r["hash"], r["key"], r["doc"], r["sub"], r["at"], r["n"] = h, key, doc.as_py(), sub.as_py(), at, n
+                r["hash"], r["key"], r["doc"], r["sub"], r["at"], r["n"], r["off"] = h, key, doc.as_py(), sub.as_py(), at, n, off
                 found.append(r)
             r = np.concatenate(found) if found else np.empty(0, RUN)
             if not len(r):
@@ -134,11 +136,11 @@ def scattered(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, kind int, runs binary")
 
 
-MARKS = "open boolean, hash long, doc long, sub int, at int, n int"
+MARKS = "open boolean, hash long, doc long, sub int, at int, n int, off int"
 
 
 def marks_of(open_: bool, r: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(np.full(len(r), open_)), pa.array(r["hash"].view(np.int64) if len(r) else np.zeros(0, np.int64)), pa.array(r["doc"].copy()), pa.array(r["sub"].copy()), pa.array(r["at"].copy()), pa.array(r["n"].astype(np.int32))], names=["open", "hash", "doc", "sub", "at", "n"])
+    return pa.table([pa.array(np.full(len(r), open_)), pa.array(r["hash"].view(np.int64) if len(r) else np.zeros(0, np.int64)), pa.array(r["doc"].copy()), pa.array(r["sub"].copy()), pa.array(r["at"].copy()), pa.array(r["n"].astype(np.int32)), pa.array(r["off"].astype(np.int32))], names=["open", "hash", "doc", "sub", "at", "n", "off"])
 
 
 def judged(packed: pa.Table) -> pa.Table:
@@ -227,7 +229,7 @@ def block_repeats(hashes, docs, subs, ats, ns, offs, contexts) -> pa.Table:
     late = np.concatenate(([False], g[1:] == g[:-1])) if len(g) else np.zeros(0, bool)
     late = by_place[late]
     r = np.empty(len(late), RUN)
-    r["hash"], r["doc"], r["sub"], r["at"], r["n"] = 0, docs[row[late]], subs[row[late]], at[late], 1
+    r["hash"], r["doc"], r["sub"], r["at"], r["n"], r["off"] = 0, docs[row[late]], subs[row[late]], at[late], 1, 0
     return marks_of(False, joined_starts(r))
 
 
@@ -248,8 +250,8 @@ def joined_starts(r: np.ndarray) -> np.ndarray:
 
 def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The bytes of the open runs: hash, doc, sub, at, n, off (of the anchor), context."""
-    wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "at", "n")).alias("wanted")), "wanted")
-    few = wanted.count() <= BROADCAST_DOCS
+    wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "at", "n", "off")).alias("wanted")), "wanted")
+    few = marks.where("open").count() <= BROADCAST_RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +261,7 @@ def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 for x in wanted.as_py():
                     at, n = x["at"], x["n"]
                     part = text[at : at + n - 1 + LENGTH]
-                    rows.append((x["hash"], doc, sub, at, n, int(anchors(np.frombuffer(part, np.uint8))[0][0]), part))
+                    rows.append((x["hash"], doc, sub, at, n, x["off"], part))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["hash", "doc", "sub", "at", "n", "off", "context"])
 
