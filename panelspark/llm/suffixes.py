@@ -32,8 +32,6 @@ V = 32
 BLOCK_BYTES, SORT_BYTES = 1 << 20, 4 << 20
 #: Merged removals are broadcast up to so many documents, else joined by a shuffle.
 BROADCAST_DOCS = 500_000
-#: Open runs are broadcast up to so many of them.
-BROADCAST_RUNS = 1_000_000
 
 
 def difference_cover(v: int) -> list[int]:
@@ -251,7 +249,6 @@ def joined_starts(r: np.ndarray) -> np.ndarray:
 def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The bytes of the open runs: hash, doc, sub, at, n, off (of the anchor), context."""
     wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "at", "n", "off")).alias("wanted")), "wanted")
-    few = marks.where("open").count() <= BROADCAST_RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +262,7 @@ def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["hash", "doc", "sub", "at", "n", "off", "context"])
 
-    return docs.join(F.broadcast(wanted) if few else wanted, ["doc", "sub"]).mapInArrow(run, "hash long, doc long, sub int, at int, n int, off int, context binary")
+    return docs.join(wanted, ["doc", "sub"]).mapInArrow(run, "hash long, doc long, sub int, at int, n int, off int, context binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
