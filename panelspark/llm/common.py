@@ -23,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, per_task: int = 50_000) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so a lost
-    executor costs a read and not the work that made the table."""
+    executor costs a read and not the work that made the table. Where a bound of its rows is known, the
+    last stage has one task for each per_task of them, so that small tables don't cost many tiny tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None and (n := 1 + rows // per_task) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(n)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

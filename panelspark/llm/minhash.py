@@ -120,10 +120,11 @@ def star_pairs(members: DataFrame) -> DataFrame:
     made from, or the one closest to it. Pairs grow with the members, never with their square."""
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = stored(members.join(shared, "key"), "members")
-    weight = stored(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "weight")
-    weighed = stored(members.join(weight, "doc_id").select("key", "doc_id", "weight"), "weighed")
-    centre = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre")), "centre")
-    return weighed.join(centre, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    rows = members.count()
+    weight = stored(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "weight", rows)
+    weighed = stored(members.join(weight, "doc_id").select("key", "doc_id", "weight"), "weighed", rows)
+    centre = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre")), "centre", rows)
+    return stored(weighed.join(centre, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs", rows)
 
 
 def sift(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -198,14 +199,17 @@ def cell_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> li
 
 
 def unresolved(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Further links inside families of documents that hang together by shared bands but not by confirmed
+    """Further links inside families of documents that hang together by likely pairs but not by confirmed
     links. A family is cut into chunks and each two chunks meet in a cell, so no task holds more than two
     chunks whatever the family's size, and a cell returns at most one link for each document."""
-    family = stored(components(pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family"), "family")
-    known = stored(components(links).withColumnRenamed("node", "doc_id"), "known")
-    state = stored(family.join(known, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")), "state")
-    size = stored(state.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open")
-    own = stored(state.join(size, "family"), "open")
+    rows = 2 * pairs.count()
+    family = components(pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    known = components(links).withColumnRenamed("node", "doc_id")
+    state = stored(family.join(known, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")), "state", rows)
+    size = stored(state.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open", rows)
+    own = stored(state.join(size, "family"), "open", rows)
+    if not own.limit(1).count():
+        return links.limit(0)
     own = own.join(full_sets(of_ids(texts(docs), own.select("doc_id"))).dropDuplicates(["doc_id"]), "doc_id")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     # the cells (i, j), i <= j, in which a chunk takes part
@@ -235,12 +239,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     # a repeated doc_id may stand for two sets: both take part
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "registers")
-    pairs = stored(star_pairs(band_members(reps)), "pairs")
+    pairs = star_pairs(band_members(reps))
     one = reps.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "registers")).alias("x")).select("doc_id", "x.*")
-    likely = stored(sift(pairs, one), "likely")
+    likely = stored(sift(pairs, one), "likely", pairs.count(), 5_000)
     sets = stored(full_sets(of_ids(docs, likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct())).dropDuplicates(["doc_id"]), "sets")
-    links = stored(confirmed(likely, sets), "links")
-    more = stored(unresolved(pairs, links, docs), "more")
+    links = stored(confirmed(likely, sets), "links", likely.count(), 1_000)
+    more = stored(unresolved(likely, links, docs), "more")
     found = stored(components(links.unionAll(more).unionAll(filled.join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))), "component")
     out = sketch.join(found, sketch["doc_id"] == found["node"], "left").select(sketch["doc_id"], "n_shingles", F.coalesce("component", sketch["doc_id"]).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
