@@ -30,7 +30,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.default_vocabulary(), keep_ids=True).drop("decoded")
+    return bpe.encode(docs, bpe.default_vocabulary(), keep_ids=True)
 
 
 STAGES = [("quality classifier", good_quality), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", no_test_items), ("PII", masked), ("BPE encoding and decoding", encoded)]

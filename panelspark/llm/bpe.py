@@ -27,7 +27,10 @@ from .common import table, texts
 #: Code points per block of documents whose distinct words are encoded together.
 BLOCK_CHARS = 2_000_000
 #: Pieces of text kept between blocks; beyond it, those that go unused are dropped.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
+
+#: Token pairs whose compatibility is remembered.
+KNOWN_PAIRS = 300_000
 
 # White space as the tokenizer's regular expressions understand it.
 SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -96,7 +99,7 @@ class WordBpe:
                 used_a, a = made_a[0], made_a[2]
             else:
                 used_b, b = made_b[0], made_b[1]
-        if len(self.ok) > 2_000_000:
+        if len(self.ok) > KNOWN_PAIRS:
             self.ok.clear()
         self.ok[key] = good
         return good
@@ -227,9 +230,9 @@ def blocks(column: Iterable[str | None], most: int) -> Iterator[list[str]]:
         yield block
 
 
-def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids
-    themselves and the decoded text.
+def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, with keep_ids the ids
+    themselves (little-endian, 4 bytes each) and with keep_decoded the decoded text.
 
     vocabulary is a file that every executor can open. Null text counts as empty: no ids, empty decoded
     text. Null and repeated doc_ids are kept as they are; an empty table gives an empty result; columns
@@ -237,20 +240,20 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
     hold at least one text. The work is one pass without a shuffle; what a worker keeps between blocks
     is bounded by CACHE_WORDS.
     """
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids + ", decoded string" * keep_decoded
     names = [x.split(" ")[0] for x in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_ids, *[pa.string()] * keep_decoded]
         for batch in batches:
             column, at = batch.column("text"), 0
             for block in blocks((x.as_py() for x in column), BLOCK_CHARS):
                 rows = []
                 for n, ids, decoded in bpe.encode_block(block):
                     row = [n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()]
-                    rows.append(row + [ids, decoded] if keep_ids else row)
-                cols = [batch.column("doc_id").slice(at, len(block)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=False))]
+                    rows.append(row + [ids] * keep_ids + [decoded] * keep_decoded)
+                cols = [batch.column("doc_id").slice(at, len(block)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += len(block)
 

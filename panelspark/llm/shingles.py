@@ -9,7 +9,7 @@ import xxhash
 
 WIDTH = 5
 #: Words whose hashes a worker keeps; beyond it the table is emptied.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 BLOCK_BYTES = 4_000_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 

@@ -377,7 +377,7 @@ def test_bpe_equals_the_library(spark, docs, odd, empty):
     rng = random.Random(8)
     own += ["".join(rng.choice("abehnort's !é<|12\t") for _ in range(60)) for _ in range(300)]
     frame = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
-    got = {r.doc_id: r for r in bpe.encode(frame, path, keep_ids=True).collect()}
+    got = {r.doc_id: r for r in bpe.encode(frame, path, keep_ids=True, keep_decoded=True).collect()}
     for i, x in enumerate(own):
         ids = t.encode(x, add_special_tokens=False).ids
         assert bytes(got[i].ids) == struct.pack(f"<{len(ids)}I", *ids) and got[i].decoded == t.decode(ids, skip_special_tokens=False)
