@@ -28,8 +28,10 @@ LEAST = 75
 EMPTY = 0xFFFFFFFF
 #: A broadcast of document ids is used up to so many of them (8 bytes each), a shuffled join beyond.
 BROADCAST_IDS = 2_000_000
-#: Documents of an unresolved family in one side of a cell.
-CHUNK = 256
+#: Members of a band that are all compared with each other; in larger bands each meets the centre first.
+SMALL = 8
+#: Documents of an unresolved family in one side of a cell, and members of a band.
+CHUNK, BAND_CHUNK = 256, 1024
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -114,17 +116,29 @@ def band_members(reps: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("band", "part").alias("key"), "doc_id")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, key) pairs of each document with the centre of each band it shares. The centre is the
-    member whose bands have most members in all: in a group of edited copies that is the text they were
-    made from, or the one closest to it. Pairs grow with the members, never with their square."""
-    shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = stored(members.join(shared, "key"), "members")
+def shared_bands(members: DataFrame) -> DataFrame:
+    """(key, doc_id, n, times) of the bands of n > 1 members; bands with the same members are one that
+    counts `times`."""
+    h, g = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    low = F.lit(0x7FFFFFFF)
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(low)).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y"), F.sum(g.bitwiseAND(low)).alias("z")).where("n > 1")
+    shared = stored(shared.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "n", "times"), "shared")
+    return stored(members.join(shared, "key"), "members")
+
+
+def band_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) pairs: all of a band of up to SMALL members, and each document with the centre of each
+    larger band. The centre is the member whose bands have most members in all: in a group of edited
+    copies that is the text they were made from, or the one closest to it. Pairs grow with the members,
+    never with their square; what a centre leaves undecided is for left_over()."""
     rows = members.count()
-    weight = stored(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "weight", rows)
-    weighed = stored(members.join(weight, "doc_id").select("key", "doc_id", "weight"), "weighed", rows)
+    weight = stored(members.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("times")).alias("weight")), "weight", rows)
+    weighed = stored(members.where(F.col("n") > SMALL).join(weight, "doc_id").select("key", "doc_id", "weight"), "weighed", rows)
     centre = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre")), "centre", rows)
-    return stored(weighed.join(centre, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs", rows)
+    star = weighed.join(centre, "key").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    every = "explode(flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b)))))"
+    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select(F.expr(every).alias("p")).select("p.a", "p.b")
+    return stored(star.unionAll(small).where("a <> b").distinct(), "pairs", rows * SMALL // 2)
 
 
 def sift(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -198,30 +212,77 @@ def cell_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> li
     return out
 
 
-def unresolved(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+def cells(state: DataFrame, group: str, chunk: int) -> DataFrame:
+    """Rows of state (group, doc_id, component) of groups with several components, with the cells (i, j)
+    in which they take part. The largest component of a group and the rest are cut into chunks, and each
+    chunk of the rest meets each other chunk in a cell: a cell holds two chunks whatever the group's size,
+    and documents of the largest component don't meet each other."""
+    parts = state.groupBy(group, "component").agg(F.count("*").alias("n"))
+    size = parts.groupBy(group).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    up = lambda n: F.ceil(n / chunk).cast("int")
+    size = size.select(group, F.col("top.component").alias("main"), up(F.col("top.n")).alias("k"), up(F.col("n") - F.col("top.n")).alias("q"))
+    own = state.join(size, group)
+    h = F.xxhash64("doc_id")
+    own = own.withColumn("chunk", F.when(F.col("component") == F.col("main"), F.pmod(h, "k")).otherwise(F.col("k") + F.pmod(h, "q")).cast("int"))
+    own = own.withColumn("other", F.explode(F.expr("filter(sequence(if(component = main, k, 0), k + q - 1), x -> x <> chunk)")))
+    return own.select(group, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "component")
+
+
+def cell_families(ids: np.ndarray, comps: np.ndarray, regs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that hang those components of a cell together between which sift would let a pair through."""
+    n = len(ids)
+    same = np.zeros((n, n), np.uint8)
+    for r in regs.T:
+        same += (r[:, None] == r[None, :]) & (r != EMPTY)[:, None]
+    none = (regs == EMPTY).astype(np.float32)
+    used = np.maximum(BUCKETS - none @ none.T, 1)
+    t = LEAST / 100
+    near = (same / used >= t - 5 * np.sqrt(t * (1 - t) / used)) & (100 * np.minimum(sizes[:, None], sizes[None, :]) >= LEAST * np.maximum(sizes[:, None], sizes[None, :]))
+    _, first, own = np.unique(comps, return_index=True, return_inverse=True)
+    label = np.arange(len(first))
+    while True:  # the smallest component that each reaches
+        reach = np.where(near, label[own][None, :], n).min(1)
+        new = label.copy()
+        np.minimum.at(new, own, reach)
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            return [(int(ids[first[c]]), int(ids[first[top]])) for c, top in enumerate(label.tolist()) if c != top]
+        label = new
+
+
+def left_over(members: DataFrame, known: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b) that join the families of documents that share a band of more than SMALL members, aren't
+    linked yet and resemble each other by their registers, whatever the band's centre is like. All
+    members outside a band's largest component are compared with all others, in cells."""
+    state = members.where(F.col("n") > SMALL).join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct()
+    own = stored(cells(stored(state, "band"), "key", BAND_CHUNK), "cells")
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint32).reshape(-1, BUCKETS)
+        return pd.DataFrame(cell_families(pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), regs, pdf["n_shingles"].to_numpy(np.float32)), columns=["a", "b"], dtype="int64")
+
+    return own.join(one, "doc_id").groupBy("key", "i", "j").applyInPandas(cell, "a long, b long").distinct()
+
+
+def unresolved(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """Further links inside families of documents that hang together by likely pairs but not by confirmed
-    links. A family is cut into chunks and each two chunks meet in a cell, so no task holds more than two
-    chunks whatever the family's size, and a cell returns at most one link for each document."""
+    links: all documents outside a family's largest component are compared with all others, in cells. A
+    cell returns at most one link for each document."""
     rows = 2 * pairs.count()
     family = components(pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    known = components(links).withColumnRenamed("node", "doc_id")
     state = stored(family.join(known, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")), "state", rows)
-    size = stored(state.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open", rows)
-    own = stored(state.join(size, "family"), "open", rows)
+    own = stored(cells(state, "family", CHUNK), "open", rows)
     if not own.limit(1).count():
-        return links.limit(0)
-    own = own.join(full_sets(of_ids(texts(docs), own.select("doc_id"))).dropDuplicates(["doc_id"]), "doc_id")
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    # the cells (i, j), i <= j, in which a chunk takes part
-    own = own.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    own = own.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        return pairs.limit(0)
+    own = own.join(full_sets(of_ids(texts(docs), own.select("doc_id").distinct())).dropDuplicates(["doc_id"]), "doc_id")
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         out = cell_links(pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["shingles"]])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return own.select("family", "i", "j", "doc_id", "component", "shingles").groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")
+    return own.groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,12 +300,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     # a repeated doc_id may stand for two sets: both take part
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "registers")
-    pairs = star_pairs(band_members(reps))
+    members = shared_bands(band_members(reps))
+    pairs = band_pairs(members)
     one = reps.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "registers")).alias("x")).select("doc_id", "x.*")
     likely = stored(sift(pairs, one), "likely", pairs.count(), 5_000)
     sets = stored(full_sets(of_ids(docs, likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct())).dropDuplicates(["doc_id"]), "sets")
     links = stored(confirmed(likely, sets), "links", likely.count(), 1_000)
-    more = stored(unresolved(likely, links, docs), "more")
+    known = stored(components(links).withColumnRenamed("node", "doc_id"), "known", 2 * links.count())
+    joins = stored(left_over(members, known, one), "joins")
+    more = stored(unresolved(likely.unionAll(joins), known, docs), "more")
     found = stored(components(links.unionAll(more).unionAll(filled.join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))), "component")
     out = sketch.join(found, sketch["doc_id"] == found["node"], "left").select(sketch["doc_id"], "n_shingles", F.coalesce("component", sketch["doc_id"]).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -251,6 +251,34 @@ def test_minhash_equals_brute_force(spark, docs):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for (i, _), s in zip(rows, word_sets([t for _, t in rows]))}
 
 
+def test_minhash_pair_behind_unlike_centres(spark):
+    """Each band that the two copies share has a group of short texts in it that hold its four shingles
+    and nothing else of the copies; one of the group is the band's centre."""
+    rng = random.Random(5)
+    a = [f"q{i}" for i in range(800)]
+    b = a[:695] + [f"z{i}" for i in range(105)]
+    regs = lambda w: minhash.registers(minhash.shingle_set(" ".join(w))).reshape(minhash.BANDS, -1)
+    bands = lambda w, k: (regs(w)[k] == regs(a)[k]).all()
+    common = [k for k in range(minhash.BANDS) if bands(b, k)]
+    least = {}
+    for i in range(691):
+        h = int(minhash.shingle_set(" ".join(a[i : i + 5]))[0])
+        least[h % 128] = min(least.get(h % 128, (1 << 64, 0)), (h >> 12, i))
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    assert (regs(a)[common] != minhash.EMPTY).all()
+    for k in common:
+        other = lambda n: [f"h{k}x{rng.randint(0, 1 << 40)}" for _ in range(n)]
+        quoting = lambda: [w for x in range(4 * k, 4 * k + 4) for w in a[least[x][1] : least[x][1] + 5] + other(1)]
+        hub = next(w for w in (quoting() + other(40) for _ in range(10_000)) if bands(w, k))
+        copies = (hub + [f"c{k}x{rng.randint(0, 1 << 40)}"] for _ in range(60))
+        good = [w for w in copies if bands(w, k)][:14]
+        rows += [(len(rows) + i + 1, " ".join(w)) for i, w in enumerate(good)]
+    want = brute_components(rows)
+    assert common and want[2] == 1 and want[3] == 3
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_cells_link_all_components():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(10, 40)).astype(np.uint64)) for _ in range(60)]
