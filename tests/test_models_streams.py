@@ -53,14 +53,32 @@ def test_streams_equal_batch(spark):
     fills.repartition(2).write.parquet(f"{work}/fills")
     com = fills.where("exec_id % 2 = 0").select("exec_id", (F.col("time") + F.expr("INTERVAL 5 SECONDS")).alias("reported"), F.lit(0.5).alias("commission"))
     com.write.parquet(f"{work}/com")
-    q = st.daily_activity(st.files(spark, f"{work}/fills", fills.schema), "30 days").writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(spark.table("daily").collect()) == sorted(tr.daily_activity(fills).collect())
+    files = lambda name, like, n: st.files(spark, f"{work}/{name}", like.schema, n)
+
+    def run(df, name, mode):
+        df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(60)
+        return spark.table(name)
+
+    daily = run(st.daily_activity(files("fills", fills, 1), "30 days"), "daily", "complete")
+    assert sorted(daily.collect()) == sorted(tr.daily_activity(fills).collect())
     seen = []
-    st.refresh(st.files(spark, f"{work}/fills", fills.schema), lambda df, k: seen.append(df.count()), f"{work}/cp").awaitTermination(60)
+    st.refresh(files("fills", fills, 1), lambda df, k: seen.append(df.count()), f"{work}/cp").awaitTermination(60)
     assert sum(seen) == 40
-    j = st.with_commissions(st.files(spark, f"{work}/fills", fills.schema), st.files(spark, f"{work}/com", com.schema))
-    q = j.writeStream.outputMode("append").format("memory").queryName("joined").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    got = spark.table("joined").where("commission > 0")
-    assert got.count() == 20 and got.where("exec_id % 2 <> 0").count() == 0
+    # files that come in any order: in one trigger, and one at a time within the delay
+    for name, n, delay in (("joined_all", None, "10 minutes"), ("joined_each", 1, "30 days")):
+        got = run(st.with_commissions(files("fills", fills, n), files("com", com, n), delay), name, "append").where("commission > 0")
+        assert got.count() == 20 and got.where("exec_id % 2 <> 0").count() == 0
+
+
+def test_unmatched_fills_come_once_the_watermark_has_passed(spark):
+    """Files in event-time order, a short delay: late rows are none, and fills without commission get 0."""
+    work = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    rows = [(i, f"2024-01-{1 + i:02d} 10:00:00", 1.0, 2.0) for i in range(8)]
+    fills = spark.createDataFrame(rows, "exec_id long, t string, quantity double, price double").select("exec_id", F.to_timestamp("t").alias("time"), "quantity", "price")
+    com = fills.where("exec_id % 2 = 0").select("exec_id", (F.col("time") + F.expr("INTERVAL 5 SECONDS")).alias("reported"), F.lit(0.5).alias("commission"))
+    for name, df in (("fills", fills), ("com", com)):
+        df.coalesce(1).write.parquet(f"{work}/{name}")
+    joined = st.with_commissions(st.files(spark, f"{work}/fills", fills.schema), st.files(spark, f"{work}/com", com.schema), "10 minutes")
+    joined.writeStream.outputMode("append").format("memory").queryName("passed").trigger(availableNow=True).start().awaitTermination(60)
+    got = {r.exec_id: r.commission for r in spark.table("passed").collect()}
+    assert {i: c for i, c in got.items() if i < 7} == {i: 0.5 * (i % 2 == 0) for i in range(6)} | {6: 0.5}
