@@ -32,9 +32,9 @@ BLOCK_WORDS = 500_000
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + bytes(c for c in range(128) if not chr(c).isalnum()), bytes(range(97, 123)) + b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words; ASCII signs count as spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
+def plain_words(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) words of UTF-8 text; ASCII signs count as spaces."""
+    return text.translate(PLAIN).split()
 
 
 class Items:
@@ -158,7 +158,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     for k in range(n):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
         if rows:
-            yield Items([(r.item_id, plain_words(r.text)) for r in sorted(rows)])
+            yield Items([(r.item_id, plain_words(r.text.encode())) for r in sorted(rows)])
 
 
 def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:

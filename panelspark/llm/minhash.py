@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, texts
 from .components import components
-from .shingles import blocks, shingle_hashes, word_hashes, words
+from .shingles import blocks, shingle_sets
 
 BUCKETS, MANTISSA, ROWS = 128, 26, 4
 BANDS = BUCKETS // ROWS
@@ -66,7 +66,7 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text))))
+    return shingle_sets([(text or "").encode("utf-8", "surrogatepass")])[0]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = 0
             for block in blocks(batch.column("text")):
-                sets = [shingle_set(t) for t in block]
+                sets = shingle_sets(block)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(block)),
@@ -98,7 +98,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = 0
             for block in blocks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array([shingle_set(t).tobytes() for t in block], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array([x.tobytes() for x in shingle_sets(block)], pa.binary())], names=["doc_id", "shingles"])
                 at += len(block)
 
     return texts(docs).mapInArrow(run, "doc_id long, shingles binary")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 WIDTH = 5
-#: Words whose hashes a worker keeps; beyond it the table is emptied.
-KEPT_WORDS = 200_000
 BLOCK_BYTES = 4_000_000
+#: Bytes that are hashed together; more only where a single word is longer.
+PIECE = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SPACES = b" \t\n\r\x0b\x0c"
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,26 +29,61 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at space and the controls 9 to 13 (just what bytes.split() takes)."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
-def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, tokens), np.uint64, len(tokens))
+#: A number for each byte; white space is 0.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+BYTES[list(SPACES)] = 0
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 .. n - 1 modulo 2^64, by doubling."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = np.uint64(pow(base, done, 1 << 64))
+        out[done : 2 * done] = out[: min(done, n - done)] * step
+        done *= 2
+    return out
+
+
+@functools.cache
+def piece_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, PIECE), powers(pow(BASE, -1, 1 << 64), PIECE)
+
+
+def piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word: the polynomial of its bytes by differences of running sums."""
+    up, down = piece_powers() if len(data) <= PIECE else (powers(BASE, len(data)), powers(pow(BASE, -1, 1 << 64), len(data)))
+    v = BYTES[data]
+    word = v != 0
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    first, end = edge[::2], edge[1::2]
+    v *= up[: len(v)]
+    np.cumsum(v, out=v)
+    total = v[end - 1]
+    total[first > 0] -= v[first[first > 0] - 1]
+    return mixed(total * down[first] + (end - first).astype(np.uint64)), first
+
+
+def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a block of texts, one text after the other, and the number of words
+    of each. Words are lower-cased (A-Z) and end at a space or a control from 9 to 13."""
+    sizes = np.array([len(t) + 1 for t in block], np.int64)
+    data = b" ".join([*block, b""]).translate(LOWER)
+    found, starts, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while low < len(data):
+        high = low + PIECE
+        if high < len(data):
+            cut = max(data.rfind(c, low, high) for c in (b" ", b"\n"))
+            if cut < 0:  # a word longer than a piece
+                cut = next((low + m.end() - 1 for m in [SPACE.search(data[low:])] if m), len(data) - 1)
+            high = cut + 1
+        h, first = piece_hashes(np.frombuffer(data, np.uint8, min(high, len(data)) - low, low))
+        found.append(h)
+        starts.append(first + low)
+        low = high
+    starts = np.concatenate(starts)
+    return np.concatenate(found), np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes)))))
 
 
 def shingle_hashes(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -61,11 +100,18 @@ def shingle_hashes(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
-def blocks(column: Iterable, most: int = BLOCK_BYTES) -> Iterator[list[str]]:
-    """Texts of an Arrow column in lists of bounded size, at least one text each."""
+def shingle_sets(block: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    h, counts = word_hashes(block)
+    ends = np.cumsum(counts).tolist()
+    return [np.unique(shingle_hashes(h[e - n : e])) for e, n in zip(ends, counts.tolist(), strict=True)]
+
+
+def blocks(column: Iterable, most: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """UTF-8 bytes of the texts of an Arrow column in lists of bounded size, at least one text each."""
     block, size = [], 0
-    for t in column:
-        block.append(t.as_py() or "")
+    for t in column.cast(pa.binary()):
+        block.append(t.as_py() or b"")
         size += len(block[-1])
         if size >= most:
             yield block

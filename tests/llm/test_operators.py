@@ -414,7 +414,13 @@ def test_bpe_equals_the_library(spark, docs, odd, empty):
     assert bpe.encode(odd, path).where("n_tokens = 0").count() == 4
 
 
-def test_shingles_are_whole_sequences_when_short():
-    h = shingles.word_hashes(shingles.words("a b"))
-    assert len(shingles.shingle_hashes(h)) == 1 and not len(shingles.shingle_hashes(h[:0]))
-    assert pd.Series(shingles.words("AÄ b\x0bc\x1cd")).tolist() == ["aÄ".encode(), b"b", b"c\x1cd"]
+def test_word_hashes_by_blocks():
+    own = lambda t: shingles.word_hashes([t])
+    assert len(shingles.shingle_sets([b"a b"])[0]) == 1 and not len(shingles.shingle_sets([b""])[0])
+    h, n = shingles.word_hashes(["AÄ b\x0bc\x1cd".encode(), b"", b" \n", b"b aB", b"x" * 3_000_000 + b" b", b"b\t" * 1_500_000])
+    assert n.tolist() == [3, 0, 0, 2, 2, 1_500_000]
+    b = own(b"b")[0][0]
+    assert h[1] == h[3] == h[6] == b and (h[7:] == b).all() and h[0] == own("aÄ".encode())[0][0] and h[4] == own(b"AB")[0][0] and h[2] == own(b"c\x1cD")[0][0]
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(20_000)}
+    assert len(set(own(" ".join(words).encode())[0].tolist())) == len(words)
