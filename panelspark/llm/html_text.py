@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules (operator 3).
 
-Pass one decides on each block from its place in the page, its link density, its length and its
-stop-word density; short or middling blocks stay open. Pass two gives each open block the label of its
-nearest decided neighbours.
+Pass one decides on a block by its link density, by whether it stands in page furniture, and by its length
+and stop-word density: long dense blocks are good; short, sparse or middling ones stay open, whether
+inside <article> or not. Pass two gives each open block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = re.compile(r"[^a-z]+")
 WORDS = re.compile(r"[^\W\d_]+")
+RIGHTS = re.compile(r"©|\(c\) |copyright\b", re.IGNORECASE)
 
 NONE, PAGE, COMMENTS = 0, 1, 2
 
@@ -77,9 +79,20 @@ def marked(tag: str, attributes: str, in_article: bool) -> int:
     return kind
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters inside links, outside, in the article, heading) of the page's blocks in order."""
-    found: list[tuple[str, int, bool, bool, bool]] = []
+class Block(NamedTuple):
+    text: str
+    #: Characters inside links.
+    linked: int
+    #: In page furniture or comments.
+    outside: bool
+    #: Inside <article> or <main>.
+    inside: bool
+    tag: str
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    found: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
     # open block elements: tag, what it is, whether the article has begun, outside or not by all that is open
@@ -90,7 +103,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if text:
             s = " ".join("".join(text).split())
             if s:
-                found.append((s, len(" ".join("".join(linked).split())), stack[-1][1] != NONE, stack[-1][2], stack[-1][0] in HEADINGS))
+                found.append(Block(s, len(" ".join("".join(linked).split())), stack[-1][1] != NONE, stack[-1][2], stack[-1][0]))
             text.clear()
             linked.clear()
 
@@ -151,49 +164,70 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return found
 
 
-GOOD, BAD, SHORT, NEAR, TITLE = "good", "bad", "short", "near", "title"
+GOOD, BAD, SHORT, SPARSE, NEAR, TITLE = "good", "bad", "short", "sparse", "near", "title"
 
 
-def first_pass(text: str, linked: int, outside: bool, in_article: bool, heading: bool) -> str:
-    n = len(text)
-    if outside or linked > MOST_LINKS * n:
-        return BAD
-    if in_article:
-        return GOOD
-    if heading:
-        return TITLE
+def first_pass(b: Block) -> tuple[str, str]:
+    """The block's label and the rule that gave it: decided (GOOD, BAD) or open."""
+    n = len(b.text)
+    if b.linked > MOST_LINKS * n:
+        return BAD, "links"
+    if b.outside or n < HIGH_LENGTH and RIGHTS.match(b.text):
+        return BAD, "furniture"
+    if b.tag in HEADINGS:
+        return TITLE, "heading"
     if n < LOW_LENGTH:
-        return BAD if linked else SHORT
-    words = WORDS.findall(text.lower())
+        return SHORT, "length"
+    words = WORDS.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= HIGH_STOPS:
-        return GOOD if n > HIGH_LENGTH else NEAR
-    return NEAR if stops >= LOW_STOPS else BAD
-
-
-def second_pass(labels: list[str]) -> list[bool]:
-    """Open blocks take the label of the nearest decided blocks before and after; where these differ, a
-    near-good block counts as good and a short one as bad. A heading goes with what follows it. A page without decided blocks: near is good."""
-    n = len(labels)
-    before, after, last = [""] * n, [""] * n, ""
-    for i in range(n):
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
-        before[i] = last
-    last = ""
-    for i in range(n - 1, -1, -1):
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
-        after[i] = last
-    kept = []
-    for i, label in enumerate(labels):
-        sides = {before[i], after[i]} - {""}
-        kept.append(label == GOOD or label == NEAR and (GOOD in sides or not sides) or label == SHORT and sides == {GOOD} or label == TITLE and after[i] == GOOD)
-    return kept
+    if stops < LOW_STOPS:
+        return SPARSE, "density"
+    return (GOOD, "density") if stops >= HIGH_STOPS and n > HIGH_LENGTH else (NEAR, "density")
+
+
+def neighbours(labels: list[str], found: list[Block], order: range) -> list[int]:
+    """For each block the nearest decided one before it in the given order, -1 if there is none. Blocks of
+    the article have neighbours in the article only, and what is set apart inside it (an aside) is none."""
+    out, inner, outer = [-1] * len(labels), -1, -1
+    for i in order:
+        out[i] = inner if found[i].inside else outer
+        if labels[i] in (GOOD, BAD):
+            outer = i
+            if not found[i].inside:
+                inner = -1  # another article begins behind it
+            elif not found[i].outside:
+                inner = i
+    return out
+
+
+def second_pass(labels: list[str], found: list[Block]) -> list[str]:
+    """Decides the open blocks. Where a page has no good block, its near-good ones are, or else its sparse
+    ones. A heading goes with the nearest decided block after it, and then counts as decided. Other open
+    blocks are good between good ones, or beside a good one of their own tag; the ends of an article count
+    as good, those of the page don't."""
+    labels, n = list(labels), len(labels)
+    for instead in (NEAR, SPARSE):
+        if GOOD not in labels:
+            labels = [GOOD if x == instead else x for x in labels]
+    after = neighbours(labels, found, range(n - 1, -1, -1))
+    for i, b in enumerate(found):
+        if labels[i] == TITLE:
+            labels[i] = labels[after[i]] if after[i] >= 0 else GOOD if b.inside else BAD
+    before, after = neighbours(labels, found, range(n)), neighbours(labels, found, range(n - 1, -1, -1))
+    out = []
+    for i, (label, b) in enumerate(zip(labels, found, strict=True)):
+        if label not in (GOOD, BAD):
+            sides = [(labels[k], found[k].tag) for k in (before[i], after[i]) if k >= 0]
+            between = all(x == GOOD for x, _ in sides) and (len(sides) == 2 or b.inside)
+            label = GOOD if between or any(x == GOOD and tag == b.tag for x, tag in sides) else BAD
+        out.append(label)
+    return out
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    keep = second_pass([first_pass(*b) for b in found])
-    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    keep = second_pass([first_pass(b)[0] for b in found], found)
+    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
