@@ -26,11 +26,10 @@ from .common import table, texts
 
 #: Code points per block of documents whose distinct words are encoded together.
 BLOCK_CHARS = 2_000_000
-#: Pieces of text kept between blocks; beyond it, those that go unused are dropped.
-CACHE_WORDS = 120_000
-
+#: Pieces of text kept between blocks; beyond it, the table is emptied.
+CACHE_WORDS = 150_000
 #: Token pairs whose compatibility is remembered.
-KNOWN_PAIRS = 300_000
+KNOWN_PAIRS = 150_000
 
 # White space as the tokenizer's regular expressions understand it.
 SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,23 +67,26 @@ class WordBpe:
         self.names |= {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = str.maketrans({chr(b): c for b, c in byte_chars().items()})
-        self.ok: dict[tuple[int, int], bool] = {}
+        self.ok: dict[int, bool] = {}  # by a << 32 | b
         self.alone: dict[int, bool] = {}
         # tokens that are the encoding of their own string, inside a word and at its end
         whole = {s: i for s, i in self.vocab.items() if self.reachable(i)}
         self.inner = {s: i for s, i in whole.items() if not s.endswith(END)}
         self.final = {s.removesuffix(END): i for s, i in whole.items() if s.endswith(END)}
         self.begun = {s[:k] for d in (self.inner, self.final) for s in d for k in range(1, len(s) + 1)}
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is kept between blocks: the ids and the decoded text of pieces."""
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
+        self.ok.clear()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge ever crosses the boundary between tokens a and b. Going back in time, the
         younger of the two boundary symbols is undone; a crossing merge wins if it comes before both
         symbols are used up, and on equal rank if it lies further left."""
-        key = (a, b)
-        if (known := self.ok.get(key)) is not None:
-            return known
+        key = a << 32 | b
         used_a = used_b = NEVER
         parts, rank, good = self.parts, self.rank, True
         while True:
@@ -154,7 +156,7 @@ class WordBpe:
                     if t is not None:
                         if not at:
                             break
-                        good = known((tokens[at], t))
+                        good = known(tokens[at] << 32 | t)
                         if compatible(tokens[at], t) if good is None else good:
                             break
                 else:
@@ -177,33 +179,29 @@ class WordBpe:
         if "<|" in text and self.split_special is not None:
             found = []
             for part in self.split_special.split(text):
-                found += [part] if part in self.special else GAP.split(lowered(part))
+                found += [part] if part in self.special else filter(None, GAP.split(lowered(part)))
             return found
         text = lowered(text)
         # str.split() also splits at four control characters that are no white space here
-        return text.split() if not SEPARATORS.search(text) else GAP.split(text)
+        return text.split() if not SEPARATORS.search(text) else [c for c in GAP.split(text) if c]
 
     def encode_block(self, block: list[str]) -> Iterator[tuple[int, bytes, str]]:
         """For each text: number of ids, the ids as bytes, the decoded text."""
         split = [self.chunks(t) for t in block]
-        if len(self.cache) > CACHE_WORDS:  # what the last blocks didn't use goes at the next turn
-            self.older, self.cache = self.cache, {}
-        cache, names = self.cache, self.names
-        new = set().union(*split).difference(cache)
-        if self.older:
-            for c in [c for c in new if c in self.older]:
-                cache[c] = self.older[c]
-                new.discard(c)
+        if len(self.ids_of) > CACHE_WORDS:
+            self.ids_of, self.text_of = {}, {}
+        ids_of, text_of, names = self.ids_of, self.text_of, self.names
+        new = set().union(*split).difference(ids_of)
         apart = {c: [c] if c in self.special else WORD.findall(c) for c in new}
         ids = {s: [i] for s, i in self.special.items()}
         ids |= self.encode_words({w for ws in apart.values() for w in ws if w not in self.special})
         for c, ws in apart.items():
-            got = [i for w in ws for i in ids[w]]
-            cache[c] = (struct.pack(f"<{len(got)}I", *got), " ".join([names[i] for i in got]))
+            got = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            ids_of[c] = struct.pack(f"<{len(got)}I", *got)
+            text_of[c] = " ".join([names[i] for i in got])
         for cs in split:
-            got = [cache[c] for c in cs]
-            data = b"".join([g[0] for g in got])
-            yield len(data) // 4, data, " ".join([g[1] for g in got if g[0]])
+            data = b"".join(map(ids_of.__getitem__, cs))
+            yield len(data) // 4, data, " ".join(map(text_of.__getitem__, cs))
 
 
 def lowered(text: str) -> str:
@@ -256,6 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_decode
                 cols = [batch.column("doc_id").slice(at, len(block)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += len(block)
+        bpe.forget()  # the worker may serve other stages
 
     return texts(docs).mapInArrow(run, kinds)
 
