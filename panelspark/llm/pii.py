@@ -1,10 +1,14 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field (operator 4).
 
 The patterns give the base spans. The field works on the tokens that hold a digit or an at sign. It has
-unary potentials on token shapes, chain potentials between neighbours in the text, and skip potentials
-between repeated tokens and between tokens of the same long shape, however far apart. Loopy
-message passing over both kinds of edges makes the labels of a document agree; what it labels and the
-patterns missed (a number that ran into the next one, say) is added as further spans.
+unary potentials on token shapes and on the words before, chain potentials between neighbours in the text,
+and skip potentials between repeated tokens, tokens that end in the same digits and tokens of the same long
+shape, however far apart. Loopy message passing over all edges makes the labels of a document agree.
+
+The field learns from the patterns' matches, from copies of them that the patterns no longer match (a digit
+changed, the plus sign gone) and from values that are assigned to a name such as `token` or `password`. What it
+labels and the patterns missed is added as further spans: numbers that ran together, cards with a wrong
+digit, phone numbers without a plus sign, repeats of a secret without its name.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: The field knows a further kind: passwords, keys and tokens.
+ALL_KINDS = (*KINDS, "secret")
 #: The field is fitted on at most so many documents (those with the smallest hash of doc_id) and tokens.
 TRAIN_DOCS, TRAIN_TOKENS = 20_000, 100_000
 #: Rounds of message passing; the least marginal with which a token is added.
@@ -35,7 +41,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+".replace("[ -]", "[\\x20-]"))
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"\S+")
+TOKEN = re.compile(r"[^\s=]+")
+NAMED = re.compile(r"\b(?:[a-z]+[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9+/_.-]{12,})", re.IGNORECASE)
+BEFORE = re.compile(r"[^\W\d]+|[=:#+]")
+HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -85,10 +94,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-#: Labels of tokens: none; email; ip; first and further tokens of a card; of a phone number.
-LABELS = ("O", "email", "ip", "card", "card+", "phone", "phone+")
-FIRST = {"email": 1, "ip": 2, "card": 3, "phone": 5}
+#: Labels of tokens: none; email; ip; first and further tokens of a card; of a phone number; secret.
+LABELS = ("O", "email", "ip", "card", "card+", "phone", "phone+", "secret")
+FIRST = {"email": 1, "ip": 2, "card": 3, "phone": 5, "secret": 7}
 BUCKETS = 1 << 12
+N_FEATURES = 9
 
 
 def shape(token: str) -> str:
@@ -110,7 +120,7 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
         if m.start() < end:
             continue
         a = m.start()
-        while a > end and not text[a - 1].isspace():
+        while a > end and text[a - 1] != "=" and not text[a - 1].isspace():
             a -= 1
         t = TOKEN.match(text, a)
         end = t.end()
@@ -132,20 +142,22 @@ def features_of(toks: list[tuple[int, int, str]], text: str) -> tuple[list[list[
         digits = NOT_DIGIT.sub("", s)
         before = shapes[i - 1] if near[i] else "-"
         after = shapes[i + 1] if i + 1 < len(toks) and near[i + 1] else "-"
-        own = [f"s{shapes[i]}", f"b{before}|{shapes[i]}", f"a{shapes[i]}|{after}", f"c{digits == s}{min(len(digits), 20)}{len(digits) > 11 and luhn(digits)}", f"@{'@' in s}{s.count('.') if '@' in s else ''}", f"d{s.count('.')}{good_ip(s) if re.fullmatch(r'[0-9]+(?:[.][0-9]+){3}', s) else ''}", f"p{s[0] == '+'}{s[0] == '('}"]
+        own = [f"s{shapes[i]}", f"b{before}|{shapes[i]}", f"a{shapes[i]}|{after}", f"c{digits == s}{min(len(digits), 20)}{len(digits) > 11 and luhn(digits)}", f"@{'@' in s}{s.count('.') if '@' in s else ''}", f"d{s.count('.')}{good_ip(s) if re.fullmatch(r'[0-9]+(?:[.][0-9]+){3}', s) else ''}", f"p{s[0] == '+'}{s[0] == '('}", f"w{''.join(BEFORE.findall(text[max(0, toks[i][0] - 30) : toks[i][0]].lower())[-2:])}", f"h{bool(HEX.fullmatch(s))}{min(len(s) // 8, 6)}{any(c.isalpha() for c in s)}"]
         feats.append([bucket(x) for x in own])
     return feats, near, shapes
 
 
 def skip_edges(toks: list[tuple[int, int, str]], shapes: list[str]) -> list[tuple[int, int, int]]:
-    """Each token with the next one that equals it (kind 0) and the next one of the same shape of at
-    least 7 digits (kind 1): linear in the number of tokens, and yet all of a group hang together."""
+    """Each token with the next one that equals it (kind 0), that ends in the same 7 digits (kind 1), and
+    that has the same shape of at least 7 digits (kind 2): linear in the number of tokens, and yet all of
+    a group hang together."""
     edges: list[tuple[int, int, int]] = []
     last: dict[tuple[int, str], int] = {}
     for i, (_, _, s) in enumerate(toks):
         keys = [(0, s.lower())]
-        if sum(c.isdigit() for c in s) >= 7:
-            keys.append((1, shapes[i]))
+        digits = NOT_DIGIT.sub("", s)
+        if len(digits) >= 7:
+            keys += [(1, digits[-7:]), (2, shapes[i])]
         for key in keys:
             if key in last:
                 edges.append((last[key], i, key[0]))
@@ -159,21 +171,43 @@ def unclear(text: str) -> list[tuple[int, int]]:
     return found + [m.span() for m in CARD.finditer(text) if m.end() - m.start() > 11 and not good_card(m.group())]
 
 
+def named_secrets(text: str) -> list[tuple[int, int, int]]:
+    """Values that are assigned to the name of a secret and hold a digit."""
+    return [(m.start(1), len(KINDS), m.end(1)) for m in NAMED.finditer(text) if any(c.isdigit() for c in m.group(1))]
+
+
+def perturbed(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with a digit changed in each card and the plus sign gone from each phone number: as long,
+    and with the same entities, but no longer matched by the patterns."""
+    out = list(text)
+    for a, k, b in spans:
+        if k == 2:
+            out[b - 1] = "0123456789"[(ord(out[b - 1]) - 47) % 10]
+        elif k == 3:
+            out[a] = " "
+    return "".join(out)
+
+
 def weak_labels(toks: list[tuple[int, int, str]], spans: list[tuple[int, int, int]], text: str) -> list[int]:
     """Labels from the base spans; of overlapping spans the one that begins first, then the kind listed
-    last. -1 for tokens without a span in a match that fails its check: they teach the field nothing."""
+    last. -1 for tokens without a span in a match that fails its check, or that repeat one with a span: they
+    teach the field nothing."""
     labels, chosen = [0] * len(toks), sorted(spans, key=lambda x: (x[0], -x[1]))
     j = 0
     for i, (a, b, _) in enumerate(toks):
         while j < len(chosen) and chosen[j][2] <= a:
             j += 1
         if j < len(chosen) and chosen[j][0] < b:
-            kind = FIRST[KINDS[chosen[j][1]]]
-            labels[i] = kind + (kind >= 3 and chosen[j][0] < a - 1 and i > 0 and labels[i - 1] in (kind, kind + 1))
+            kind = FIRST[ALL_KINDS[chosen[j][1]]]
+            labels[i] = kind + (kind in (3, 5) and chosen[j][0] < a - 1 and i > 0 and labels[i - 1] in (kind, kind + 1))
     for a, b in unclear(text):
         for i, t in enumerate(toks):
             if not labels[i] and t[0] < b and t[1] > a:
                 labels[i] = -1
+    entities = {t[2].lower() for t, y in zip(toks, labels, strict=True) if y > 0}
+    for i, t in enumerate(toks):
+        if not labels[i] and t[2].lower() in entities:
+            labels[i] = -1
     return labels
 
 
@@ -182,12 +216,12 @@ class SkipChainField:
 
     def __init__(self):
         self.unary = np.zeros((BUCKETS, len(LABELS)))
-        self.edges = np.zeros((3, len(LABELS), len(LABELS)))  # chain, equal token, same shape
+        self.edges = np.zeros((4, len(LABELS), len(LABELS)))  # chain, equal token, same last digits, same shape
 
     def fit(self, docs: list[tuple[list[list[int]], list[bool], list[tuple[int, int, int]], list[int]]]) -> SkipChainField:
         """Piecewise training: the unary weights by softmax regression, the edge potentials as smoothed
         log ratios of how often two labels meet to how often they would by chance."""
-        feats = np.array([f for d in docs for f, v in zip(d[0], d[3], strict=True) if v >= 0], np.int64).reshape(-1, 7)
+        feats = np.array([f for d in docs for f, v in zip(d[0], d[3], strict=True) if v >= 0], np.int64).reshape(-1, N_FEATURES)
         y = np.array([v for d in docs for v in d[3] if v >= 0], np.int64)
         if not len(y):
             return self
@@ -202,20 +236,21 @@ class SkipChainField:
                 p = np.exp(z - z.max(1, keepdims=True))
                 g = np.zeros_like(self.unary)
                 d = (p / p.sum(1, keepdims=True) - target[own]) / len(own)
-                np.add.at(g, feats[own].ravel(), np.repeat(d, 7, axis=0))
+                np.add.at(g, feats[own].ravel(), np.repeat(d, N_FEATURES, axis=0))
                 g += 1e-5 * self.unary
                 grad2 += g * g
                 self.unary -= 0.5 * g / np.sqrt(grad2)
-        meet = np.full((3, n, n), 0.5)
+        meet = np.full((4, n, n), 0.5)
+        meet[1:3] += 5 * np.eye(n)  # repeats agree unless the data say otherwise
         for f, near, skips, labels in docs:
             for i in range(1, len(f)):
                 if near[i] and min(labels[i - 1], labels[i]) >= 0:
                     meet[0, labels[i - 1], labels[i]] += 1
             for a, b, kind in (e for e in skips if min(labels[e[0]], labels[e[1]]) >= 0):
                 meet[1 + kind, labels[a], labels[b]] += 1
-        for k in range(3):
+        for k in range(4):
             share = meet[k] / meet[k].sum()
-            self.edges[k] = np.clip(np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True))), -3, 3) * (1.0 if k == 0 else 0.5)
+            self.edges[k] = np.clip(np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True))), -3, 3) * (0.5 if k == 3 else 1.0)
         return self
 
     def marginals(self, feats: list[list[int]], near: list[bool], skips: list[tuple[int, int, int]]) -> np.ndarray:
@@ -243,8 +278,8 @@ class SkipChainField:
 
 
 def added_spans(text: str, field: SkipChainField, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What the field finds beyond the base spans: runs of tokens of one entity that pass the kind's
-    check and overlap no base span."""
+    """What the field finds beyond the base spans: runs of tokens of one entity that have the kind's form
+    (a card 12 to 19 digits, say; their check sum isn't asked for) and overlap no base span."""
     toks = tokens_of(text)
     if not toks:
         return []
@@ -263,7 +298,8 @@ def added_spans(text: str, field: SkipChainField, base: list[tuple[int, int, int
             j += 1
         runs.append((toks[i][0], {v: k for k, v in enumerate(FIRST.values())}[first], toks[j - 1][1]))
         i = j
-    good = (lambda s: len(emails(s)) == 1 and emails(s)[0] == (0, len(s)), lambda s: bool(IP.fullmatch(s)) and good_ip(s), good_card, good_phone)
+    n_digits = lambda s: len(NOT_DIGIT.sub("", s))
+    good = (lambda s: s.count("@") == 1, lambda s: bool(IP.fullmatch(s)) and good_ip(s), lambda s: 12 <= n_digits(s) <= 19, good_phone, lambda s: len(s) >= 12)
     out, j, base = [], 0, sorted(base)
     reach = 0
     for a, k, b in runs:
@@ -277,7 +313,8 @@ def added_spans(text: str, field: SkipChainField, base: list[tuple[int, int, int
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> SkipChainField:
     """Fits the field on the tokens of at most `most` documents and TRAIN_TOKENS tokens, labelled by the
-    base spans. Texts are whole; only how many documents teach the field is bounded."""
+    base spans and named secrets, as they are and perturbed. Texts are whole; only how many documents teach
+    the field is bounded."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +325,12 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> SkipChainField:
             for i, t in zip(batch.column("doc_id"), batch.column("text")):
                 t = t.as_py() or ""
                 if CANDIDATE.search(t):
-                    toks = tokens_of(t)
-                    f, near, shapes = features_of(toks, t)
-                    keep_id.append(i.as_py())
-                    keep.append(pickle.dumps((f, near, skip_edges(toks, shapes), weak_labels(toks, base_spans(t), t))))
+                    spans = base_spans(t)
+                    for own in dict.fromkeys((t, perturbed(t, spans))):
+                        toks = tokens_of(own)
+                        f, near, shapes = features_of(toks, own)
+                        keep_id.append(i.as_py())
+                        keep.append(pickle.dumps((f, near, skip_edges(toks, shapes), weak_labels(toks, sorted(spans + named_secrets(own)), own))))
             yield pa.RecordBatch.from_arrays([pa.array(keep_id, pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "x"])
 
     import pickle
@@ -306,13 +345,14 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> SkipChainField:
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find(docs: DataFrame, field: SkipChainField) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans of every row of docs.
 
-    Counts and base_sha256 are of the pattern matches; spans also has what the field adds. Null text
+    Counts and base_sha256 are of the pattern matches; spans also has what the field adds (n_added of all
+    n_spans), among it spans of the kind `secret`. Null text
     counts as empty, an empty text has no spans; null and repeated doc_ids are kept; texts are read
     whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
     """
@@ -327,12 +367,12 @@ def find(docs: DataFrame, field: SkipChainField) -> DataFrame:
                 n = [0] * len(KINDS)
                 for _, k, _ in base:
                     n[k] += 1
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more), len(base) + len(more)))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            cols = zip(*rows, strict=True) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redacted(text: str, field: SkipChainField) -> str:
@@ -343,7 +383,7 @@ def redacted(text: str, field: SkipChainField) -> str:
     out, done = [], 0
     for a, k, b in sorted(base + added_spans(text, field, base)):
         if a >= done:
-            out += [text[done:a], f"[{KINDS[k].upper()}]"]
+            out += [text[done:a], f"[{ALL_KINDS[k].upper()}]"]
         done = max(done, b)
     return "".join(out) + text[done:]
 

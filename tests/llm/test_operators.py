@@ -203,6 +203,33 @@ def test_pii_field_separates_what_ran_together(spark, odd, empty):
     assert pii.find(odd, pii.train(empty)).where("n_added > 0").count() == 0
 
 
+def test_pii_skip_edges_change_labels(spark):
+    """What is unclear alone gets the label of its repeat elsewhere in the document; with the skip edges
+    taken out it doesn't. Cards with a wrong digit and secrets are added, plain numbers are not."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    code = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(19)) + "7"
+    rows = []
+    for i in range(400):
+        card = next(c for c in iter(lambda: "4" + digits(15), "") if pii.luhn(c))
+        rows.append((i, f'item {code()} and item {code()} and {code()} are parts; token = "{code()}" and pay {card} or call +1 (212) 555-{digits(4)}. Part 1{digits(9)}'))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = pii.train(docs)
+    secret = "k3y0fth3h0us3w1thd00"
+    text = f'my token = "{secret}" is new; it was there that {secret} came; he said 12125550001 or +12125550001, and 4111111111111112'
+    toks = pii.tokens_of(text)
+    feats, near, shapes = pii.features_of(toks, text)
+    skips = pii.skip_edges(toks, shapes)
+    assert {k for _, _, k in skips} >= {0, 1}
+    with_, without = (field.marginals(feats, near, e).argmax(1) for e in (skips, []))
+    second = [i for i, t in enumerate(toks) if t[2] == secret][1]
+    assert with_[second] == pii.FIRST["secret"] != without[second]
+    spans = pii.find(spark.createDataFrame([(1, text), (2, "on page 12 of 4000 there are 2 cats and 1,000 dogs")], "doc_id long, text string"), field).orderBy("doc_id").collect()
+    kinds = [x.split(":")[0] for x in spans[0].spans.split(",")]
+    assert kinds.count("secret") == 2 and kinds.count("card") == 1 and spans[0].n_card == 0 and spans[0].n_spans == len(kinds)
+    assert spans[1].n_spans == 0
+
+
 # --- 5 quality
 
 
