@@ -3,6 +3,8 @@
 The fingerprint of a text is the sorted set of those hashes of its five-word shingles that lie below a
 fixed fraction of the hash range. Fingerprints of parts merge by set union, and because the threshold is
 the same for all texts, overlap and containment can be estimated between texts of very unequal length.
+A short text may have no hash below the threshold; its smallest hash is kept beside the fingerprint, never in
+it, and tells such texts apart.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ BUCKET_ROWS = 20_000
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, fraction: float = FRACTION) -> DataFrame:
-    """df with column `out`: the retained shingle hashes of column `text`, sorted and distinct.
+    """df with column `out`, the retained shingle hashes of column `text`, sorted and distinct, and column
+    `out`_least, the smallest shingle hash.
 
     Words are lower-cased and split at ASCII white space; fewer than five words are one shingle. A text
-    with words whose hashes all lie above the threshold retains its smallest hash, so only texts without
-    words (null too) have an empty fingerprint.
+    without words (null too) has an empty fingerprint and no smallest hash.
     """
     top = -(1 << 63) + int(fraction * (1 << 64))
     spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     ")
@@ -36,23 +38,28 @@ def with_fingerprint(df: DataFrame, text: str, out: str, fraction: float = FRACT
     whole = F.array(F.xxhash64(F.array_join(F.transform(w, lambda h: h.cast("string")), ",")))
     df = df.withColumn("__s", F.when(F.size(w) >= WIDTH, runs).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>")))
     s = F.col("__s")
-    df = df.withColumn("__k", F.sort_array(F.array_distinct(F.filter(s, lambda h: h < F.lit(top)))))
-    return df.withColumn(out, F.when((F.size("__k") == 0) & (F.size(s) > 0), F.array(F.array_min(s))).otherwise(F.col("__k"))).drop("__w", "__s", "__k")
+    df = df.withColumn(out, F.sort_array(F.array_distinct(F.filter(s, lambda h: h < F.lit(top)))))
+    return df.withColumn(f"{out}_least", F.array_min(s)).drop("__w", "__s")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity of two texts from their fingerprints; 1 if neither has a word."""
+    """Estimated Jaccard similarity of two texts from their fingerprints. Of two empty fingerprints it is 1
+    if the smallest hashes are equal too (or neither text has a word), else 0."""
     both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1.0)))
+    same = F.col(f"{a}_least").eqNullSafe(F.col(f"{b}_least")).cast("double")
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), same).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1.0)))
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of text a's shingles that text b has too; 1 if a has no word."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a).cast("double"))
+    """Estimated share of text a's shingles that text b has too; 1 if a has no word. Where a's fingerprint is
+    empty it is 1 if the texts have one smallest hash, else 0."""
+    same = (F.col(f"{a}_least").isNull() | F.col(f"{a}_least").eqNullSafe(F.col(f"{b}_least"))).cast("double")
+    return F.when(F.size(a) == 0, same).otherwise(F.size(F.array_intersect(a, b)) / F.size(a).cast("double"))
 
 
 def merged(fingerprints: Column) -> Column:
-    """The fingerprint of a whole from an array of its parts' fingerprints (shingles across parts apart)."""
+    """The fingerprint of a whole from an array of its parts' fingerprints: exactly that of the whole where
+    the parts overlap by WIDTH - 1 words, else without the shingles across parts."""
     return F.sort_array(F.array_distinct(F.flatten(fingerprints)))
 
 
@@ -106,7 +113,7 @@ def compare(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     own = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    df = next_document(with_fingerprint(own, "text", "fp", fraction), ["text", "fp"])
+    df = next_document(with_fingerprint(own, "text", "fp", fraction), ["text", "fp", "fp_least"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring("next_text", F.lit(1), quarter)))

@@ -82,6 +82,24 @@ def test_fingerprints_odd(odd, empty):
     assert got.where("near_edited < 0 or near_edited > 1 or near_next is null").count() == 0
 
 
+def test_fingerprints_merge_and_contain(spark):
+    """Parts that overlap by four words merge to just the whole's fingerprint, however short they are; the
+    containment of a short text in a long one is estimated from the same threshold."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(4000)]
+    rows = [(1, " ".join(words))] + [(2, " ".join(words[i : i + 9])) for i in range(0, 4000 - 4, 5)]
+    fp = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), "text", "fp")
+    got = fp.groupBy("doc_id").agg(fingerprints.merged(F.collect_list("fp")).alias("fp")).orderBy("doc_id").collect()
+    assert got[0].fp == got[1].fp and abs(len(got[0].fp) - 999) < 120
+    pairs = [(1, " ".join(words), " ".join(words[500:900])), (2, " ".join(words[:400] + words[-400:]), " ".join(words[200:])), (3, "a b", "a b"), (4, "a b", "a c"), (5, "", None), (6, "", "a b"), (7, None, "x")]
+    df = spark.createDataFrame(pairs, "id int, x string, y string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "x", "a"), "y", "b")
+    r = df.orderBy("id").select(fingerprints.containment("b", "a").alias("ba"), fingerprints.containment("a", "b").alias("ab"), fingerprints.likeness("a", "b").alias("like")).collect()
+    assert r[0].ba == 1 and abs(r[0].ab - 0.1) < 0.05 and abs(r[0].like - 0.1) < 0.05
+    assert abs(r[1].ab - 0.75) < 0.15
+    assert [x.like for x in r[2:]] == [1, 0, 1, 0, 0] and r[5].ab == r[6].ab == 1 and r[2].ab == 1 and r[3].ab == 0
+
+
 # --- 2 decontamination
 
 
