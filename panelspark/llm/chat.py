@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -21,8 +21,6 @@ from .common import table
 ROLES = ("system", "user", "assistant")
 #: States 2k and 2k + 1: first and further lines of role k.
 STATES = 2 * len(ROLES)
-#: Turns of a conversation that are parsed together; longer ones are cut into parts.
-PART_TURNS = 256
 
 # Names by which transcripts call the speakers.
 NAMES = {"system": 0, "s": 0, "instruction": 0, "instructions": 0, "context": 0, "user": 1, "human": 1, "q": 1, "question": 1, "prompter": 1, "customer": 1, "me": 1, "assistant": 2, "a": 2, "answer": 2, "ai": 2, "bot": 2, "model": 2, "gpt": 2, "agent": 2}
@@ -111,26 +109,34 @@ def render(lines: list[str], states: np.ndarray) -> tuple[list[str], str]:
     return roles, "".join(f"<|{r}|>\n" + "\n".join(x).strip("\n") + "\n<|end|>\n" for r, x in zip(roles, out, strict=True))
 
 
+def style(conv_id: Column) -> Column:
+    """How a conversation's transcript marks the speakers, by the hash of its id; 4 has no markers, but a blank
+    line after each turn."""
+    return F.pmod(F.xxhash64(conv_id), F.lit(5))
+
+
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, lines, states: the turns of each conversation written as a plain transcript, and the
-    true state of each line. Conversations differ in how they mark the speakers, by the hash of their id;
-    one in five has no markers. Parts hold up to PART_TURNS turns, so no group grows with a conversation."""
+    """conv_id, lines, states: the turns of each conversation written as a plain transcript, and the true
+    state of each line. One conversation is one row, and must fit in one like any text.
+
+    Turns without number come first; turns of one number are in order of role and text. A null text is an
+    empty turn; an unknown role counts as user. A turn without conv_id is a conversation of its own (turns
+    without it that are alike in all are one), so that such rows never meet in one group.
+    """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.col("role").cast("string")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     c = c.withColumn("role", F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user"))
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), -1 - F.pmod(F.xxhash64("text"), F.lit(4096)))
-    style = F.pmod(F.xxhash64(F.col("conv_id")), F.lit(5))
-    title = F.initcap("role")
+    c = c.withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
+    title, kind = F.initcap("role"), style(F.col("conv_id"))
     human = F.when(F.col("role") == "user", "Human").otherwise(title)
-    mark = F.when(style == 0, F.concat(title, F.lit(": "))).when(style == 1, F.concat(F.lit("### "), human, F.lit(": "))).when(style == 2, F.concat(F.lit("<|"), "role", F.lit("|>"))).when(style == 3, F.concat(F.lit("["), F.upper("role"), F.lit("] "))).otherwise("")
-    c = c.withColumn("part", part).withColumn("text", F.concat(mark, "text"))
-    own = F.struct("turn", "role", "text")
-    turns = c.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(own)).alias("turns"))
+    mark = F.when(kind == 0, F.concat(title, F.lit(": "))).when(kind == 1, F.concat(F.lit("### "), human, F.lit(": "))).when(kind == 2, F.concat(F.lit("<|"), "role", F.lit("|>"))).when(kind == 3, F.concat(F.lit("["), F.upper("role"), F.lit("] "))).otherwise("")
+    text = F.concat(mark, "text", F.when(F.coalesce(kind == 4, F.lit(False)), "\n").otherwise(""))
+    turns = c.withColumn("text", text).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     state = lambda t: F.when(t["role"] == "system", 0).when(t["role"] == "user", 2).otherwise(4)
     lines = F.flatten(F.transform("turns", lambda t: F.transform(F.split(t["text"], "\n"), lambda x, i: F.struct(x.alias("line"), (state(t) + (i > 0).cast("int")).alias("state")))))
-    return turns.withColumn("x", lines).select("conv_id", "part", F.col("x.line").alias("lines"), F.col("x.state").alias("states"))
+    return turns.withColumn("x", lines).select("conv_id", F.col("x.line").alias("lines"), F.col("x.state").alias("states"))
 
 
-def held_out(conv_id) -> F.Column:
+def held_out(conv_id: Column) -> Column:
     return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -154,13 +160,12 @@ def train(known: DataFrame) -> Model:
 
 
 def parse(plain: DataFrame, model: Model) -> DataFrame:
-    """Parses conv_id, part, lines (and states where known) into conv_id, part, n_turns, roles, n_lines,
-    n_right (lines whose state is the known one; null if unknown), rendered and rendered_sha256.
+    """Parses conv_id, lines (and states where known) into conv_id, n_turns, roles, n_lines, n_right (lines
+    whose state is the known one; null if unknown), rendered and rendered_sha256: a row for each row of
+    plain, read whole.
 
-    A transcript without lines has no turns and renders empty; null lines count as blank; null conv_ids
-    are kept. Rows that repeat a turn are further turns, in order of role and text; a null text is an
-    empty turn; an unknown role counts as user. An empty table gives an empty result; other columns are
-    ignored.
+    A transcript without lines has no turns and renders empty; null lines count as blank; null and repeated
+    conv_ids are kept. An empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +178,12 @@ def parse(plain: DataFrame, model: Model) -> DataFrame:
                 rows.append((len(roles), ",".join(roles), len(lines), None if true is None else int((got == np.array(true, np.int64)).sum()), text, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "part", "n_turns", "roles", "n_lines", "n_right", "rendered", "rendered_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "n_turns", "roles", "n_lines", "n_right", "rendered", "rendered_sha256"])
 
-    own = plain.select("conv_id", "part", "lines", F.col("states") if "states" in plain.columns else F.lit(None).cast("array<int>").alias("states"))
-    return own.mapInArrow(run, "conv_id long, part long, n_turns long, roles string, n_lines long, n_right long, rendered string, rendered_sha256 string")
+    own = plain.select(F.col("conv_id").cast("long").alias("conv_id"), "lines", F.col("states") if "states" in plain.columns else F.lit(None).cast("array<int>").alias("states"))
+    return own.mapInArrow(run, "conv_id long, n_turns long, roles string, n_lines long, n_right long, rendered string, rendered_sha256 string")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = transcripts(table(spark, sf_dir, "conversations"))
-    return parse(known, train(known)).withColumn("held_out", held_out(F.col("conv_id")))
+    return parse(known, train(known)).withColumn("held_out", held_out(F.col("conv_id"))).withColumn("style", style(F.col("conv_id")))
