@@ -134,6 +134,49 @@ def test_decontamination_finds_edited_copies(spark, docs, odd, empty):
     assert sorted(str(r.doc_id) for r in decontaminate.contaminated(odd, fox).collect()) == ["1", "2", "2", "8", "None"]
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    """Copies with every third, fourth, fifth word replaced and with random edits against Smith-Waterman
+    over all pairs of documents and items."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: prose(rng.randint(14, 40)) for i in range(12)} | {100: ["just", "three", "words"], 101: ["single"]}
+    docs, regular = {}, set()
+    for i, w in items.items():
+        for step in (3, 4, 5, 99):
+            copy = [f"x{rng.randint(0, 9)}" if k % step == step - 1 and i < 100 else x for k, x in enumerate(w)]
+            regular.add(len(docs))
+            docs[len(docs)] = prose(30) + copy + prose(30)
+        for rate in (0.1, 0.2, 0.3):
+            copy = [x for x in w if rng.random() > rate / 3]
+            docs[len(docs)] = prose(20) + [rng.choice(vocabulary) if rng.random() < rate else x for x in copy] + prose(5)
+    for _ in range(100):
+        docs[len(docs)] = prose(60)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame, bench).collect()}
+    numbers = {x: k for k, x in enumerate({x for w in [*items.values(), *docs.values()] for x in w})}
+    want = {}
+    for d, w in docs.items():
+        for i, v in items.items():
+            score = decontaminate.align(np.array([numbers[x] for x in v]), np.array([numbers[x] for x in w]))[0] / (2 * len(v))
+            if score >= decontaminate.LEAST:
+                want[d, i] = score
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert {x for x in want if x[0] in regular} <= set(got)
+    assert sum(abs(got[x] - want[x]) < 1e-9 for x in got) > 0.97 * len(got)
+
+
+def test_without_leaks_judges_each_row(spark):
+    bench = spark.createDataFrame([(None, " ".join(FOX.split()[5:30])), (1, None), (1, "")], "item_id long, text string")
+    rows = [(1, FOX, 1), (1, "nothing of the kind", 2), (None, FOX, 3), (None, None, 4), (None, "clean", 5), (2, "", 6), (3, FOX, None), (3, FOX, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leak int")
+    got = decontaminate.without_leaks(docs, bench)
+    assert got.columns == docs.columns and sorted(r.leak for r in got.collect()) == [2, 4, 5, 6]
+    assert {r.item_id for r in decontaminate.contaminated(docs, bench).collect()} == {None}
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
 # --- 3 html
 
 
