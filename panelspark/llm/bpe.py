@@ -16,7 +16,6 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -27,7 +26,7 @@ from .common import table, texts
 #: Code points per block of documents whose distinct words are encoded together.
 BLOCK_CHARS = 2_000_000
 #: Pieces of text kept between blocks; beyond it, the table is emptied.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Token pairs whose compatibility is remembered.
 KNOWN_PAIRS = 150_000
 
@@ -77,9 +76,8 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        """Empties what is kept between blocks: the ids and the decoded text of pieces."""
+        """Empties what is kept between blocks: the ids of pieces, and which tokens go together."""
         self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
         self.ok.clear()
 
     def compatible(self, a: int, b: int) -> bool:
@@ -131,20 +129,23 @@ class WordBpe:
             made_a, made_b = parts.get(a), parts.get(b)
         return True
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Encodings of distinct words by one depth-first walk over their trie."""
         inner, final, compatible, known = self.inner.get, self.final.get, self.compatible, self.ok.get
-        # the path of a word: its bytes, and the end mark as part of the last step
-        paths = sorted((w.encode("utf-8").decode("latin-1").translate(self.bytes), w) for w in words)
+        # the path of a word: a character for each byte, and the end mark as part of the last step
+        word_of = {w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words if not w.isascii()}
+        paths = sorted([*word_of, *filter(str.isascii, words)])
         # of each node on the current path: its last token, where that begins, and where a token through the node can begin
         tokens, starts, firsts = [-1], [0], [0]
         begun, before, out = self.begun, "", {}
-        for s, w in paths:
+        for s in paths:
             n = len(s)
-            if (ids := final(s)) is not None:
-                out[w] = [ids]
+            if (t := final(s)) is not None:
+                out[word_of.get(s, s)] = [t]
                 continue  # the path stays where it is
-            common = len(commonprefix((s[:-1], before)))
+            common, most = 0, min(n - 1, len(before))
+            while common < most and s[common] == before[common]:
+                common += 1
             del tokens[common + 1 :], starts[common + 1 :], firsts[common + 1 :]
             first = firsts[-1]
             for d in range(common + 1, n + 1):
@@ -169,7 +170,7 @@ class WordBpe:
             while at:
                 ids.append(tokens[at])
                 at = starts[at]
-            out[w] = ids[::-1]
+            out[word_of.get(s, s)] = ids[::-1]
             before = s[:-1]
         return out
 
@@ -189,19 +190,18 @@ class WordBpe:
         """For each text: number of ids, the ids as bytes, the decoded text."""
         split = [self.chunks(t) for t in block]
         if len(self.ids_of) > CACHE_WORDS:
-            self.ids_of, self.text_of = {}, {}
-        ids_of, text_of, names = self.ids_of, self.text_of, self.names
+            self.ids_of = {}
+        ids_of, names, special = self.ids_of, self.names, self.special
         new = set().union(*split).difference(ids_of)
-        apart = {c: [c] if c in self.special else WORD.findall(c) for c in new}
-        ids = {s: [i] for s, i in self.special.items()}
-        ids |= self.encode_words({w for ws in apart.values() for w in ws if w not in self.special})
+        apart = {c: [c] if c.isalpha() or c in special else WORD.findall(c) for c in new}
+        ids = self.encode_words({w for ws in apart.values() for w in ws if w not in special})
+        ids |= {s: [i] for s, i in special.items()}
         for c, ws in apart.items():
-            got = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            got = ids[c] if len(ws) == 1 else [i for w in ws for i in ids[w]]
             ids_of[c] = struct.pack(f"<{len(got)}I", *got)
-            text_of[c] = " ".join([names[i] for i in got])
         for cs in split:
             data = b"".join(map(ids_of.__getitem__, cs))
-            yield len(data) // 4, data, " ".join(map(text_of.__getitem__, cs))
+            yield len(data) // 4, data, " ".join(map(names.__getitem__, struct.unpack(f"<{len(data) // 4}I", data)))
 
 
 def lowered(text: str) -> str:
