@@ -5,9 +5,10 @@ equal anchors at equal offsets. Strings of one document that follow each other w
 a run; a run's bytes are its context. Only runs whose anchor occurs elsewhere too can repeat anything.
 
 Suffixes are bucketed by anchor and a bucket is sorted in blocks of bounded size. Suffixes that agree on
-their first V bytes are resolved by the ranks of a difference-cover sample of the block, precomputed by
-doubling; neighbours in that order that agree on LENGTH bytes are repeats. Runs with equal contexts are
-collapsed before: of equal contexts only the earliest takes part in the sorting.
+their first V bytes are compared by the ranks of a difference-cover sample of the block, at the first
+offset that leads both to the sample; the ranks are found before by doubling. Neighbours in that order that
+agree on LENGTH bytes are repeats. An anchor of very many runs is split by the bytes next to it, and of very
+many equal contexts only the earliest takes part in the sorting.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ SPAN = LENGTH - GRAM + 1
 V = 32
 #: Bytes of text in a block of documents, and of contexts in a block of suffixes.
 BLOCK_BYTES, SORT_BYTES = 1 << 20, 4 << 20
-#: Merged removals are broadcast up to so many documents, else joined by a shuffle.
-BROADCAST_DOCS = 500_000
+#: Of more than so many equal contexts the earliest stands for all.
+EQUAL = 16
+#: An anchor with more runs is split into anchors with WIDE starts each.
+RUNS, WIDE = 4096, 8
 
 
 def difference_cover(v: int) -> list[int]:
@@ -45,8 +48,8 @@ def difference_cover(v: int) -> list[int]:
 
 
 COVER = difference_cover(V)
-#: Steps from each residue to the next member of the cover.
-STEP = np.array([min((c - r) % V for c in COVER) for r in range(V)])
+#: The first offset from two residues that leads both to members of the cover.
+STEP = np.array([[min(k for k in range(V) if (a + k) % V in COVER and (b + k) % V in COVER) for b in range(V)] for a in range(V)])
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -75,7 +78,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, first start, number of starts, anchor's offset) of a text's runs. A very long text is
+    """(anchor hash, 128-bit context hash, first start, number of starts, anchor's offset) of a text's runs. A very long text is
     read in pieces that overlap; a run that a cut divides is two runs."""
     out = []
     for low in range(0, max(1, len(text) - LENGTH + 1), BLOCK_BYTES):
@@ -85,16 +88,16 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
         at, h = anchors(np.frombuffer(piece, np.uint8))
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         n = np.diff(np.append(first, len(at)))
-        digest, view = xxhash.xxh3_64_intdigest, memoryview(piece)
-        own = [digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())]
-        out.append((h[at[first]], np.array(own, np.uint64), first + low, n, at[first] - first))
+        digest, view = xxhash.xxh3_128_digest, memoryview(piece)
+        own = b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())])
+        out.append((h[at[first]], np.frombuffer(own, np.uint64).reshape(-1, 2), first + low, n, at[first] - first))
     if not out:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64).reshape(0, 2), none, none, none
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-RUN = np.dtype([("hash", "u8"), ("key", "u8"), ("doc", "i8"), ("sub", "i4"), ("at", "i4"), ("n", "i2"), ("off", "u1")])
+RUN = np.dtype([("hash", "u8"), ("key", "u8"), ("more", "u8"), ("doc", "i8"), ("sub", "i4"), ("at", "i4"), ("n", "i2"), ("off", "u1")])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -105,9 +108,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return own.withColumn("sub", F.row_number().over(order) if repeated else F.lit(1))
 
 
-def scattered(docs: DataFrame, buckets: int) -> DataFrame:
-    """Runs packed by bucket of their anchor hash: bucket, kind, runs. Equal contexts within a batch are
-    collapsed first: kind 0 has the earliest of each, kind 1 the others, which repeat it, spread evenly."""
+def set_apart(r: np.ndarray, equal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order of anchor, context and place; and those that repeat a context of more than `equal` runs."""
+    r = r[np.lexsort((r["at"], r["sub"], r["doc"], r["more"], r["key"], r["hash"]))]
+    first = np.ones(len(r), bool)
+    first[1:] = (r["hash"][1:] != r["hash"][:-1]) | (r["key"][1:] != r["key"][:-1]) | (r["more"][1:] != r["more"][:-1])
+    heads = np.flatnonzero(first)
+    sizes = np.diff(np.append(heads, len(r)))
+    late = ~first & np.repeat(sizes > equal, sizes)
+    return r[~late], r[late]
+
+
+def scattered(docs: DataFrame, buckets: int, equal: int) -> DataFrame:
+    """Runs packed by bucket of their anchor hash: bucket, kind, runs. What repeats a frequent context within
+    a batch is set apart first (kind 1) and spread evenly; the others are kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +129,9 @@ def scattered(docs: DataFrame, buckets: int) -> DataFrame:
             for doc, sub, text in zip(batch.column("doc"), batch.column("sub"), batch.column("text"), strict=True):
                 h, key, at, n, off = runs(text.as_py())
                 r = np.empty(len(h), RUN)
-                r["hash"], r["key"], r["doc"], r["sub"], r["at"], r["n"], r["off"] = h, key, doc.as_py(), sub.as_py(), at, n, off
+                r["hash"], r["key"], r["more"], r["doc"], r["sub"], r["at"], r["n"], r["off"] = h, key[:, 0], key[:, 1], doc.as_py(), sub.as_py(), at, n, off
                 found.append(r)
-            r = np.concatenate(found) if found else np.empty(0, RUN)
-            if not len(r):
-                continue
-            r = r[np.lexsort((r["at"], r["sub"], r["doc"], r["key"], r["hash"]))]
-            first = np.concatenate(([True], (r["hash"][1:] != r["hash"][:-1]) | (r["key"][1:] != r["key"][:-1])))
-            for kind, part in ((0, r[first]), (1, r[~first])):
+            for kind, part in enumerate(set_apart(np.concatenate(found) if found else np.empty(0, RUN), equal)):
                 if not len(part):
                     continue
                 b = (part["hash"] >> np.uint64(20)) % np.uint64(buckets) if kind == 0 else np.arange(len(part)) // 512 % buckets
@@ -134,35 +143,30 @@ def scattered(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, kind int, runs binary")
 
 
-MARKS = "open boolean, hash long, doc long, sub int, at int, n int, off int"
+MARKS = "open boolean, many boolean, hash long, doc long, sub int, at int, n int, off int"
 
 
-def marks_of(open_: bool, r: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(np.full(len(r), open_)), pa.array(r["hash"].view(np.int64) if len(r) else np.zeros(0, np.int64)), pa.array(r["doc"].copy()), pa.array(r["sub"].copy()), pa.array(r["at"].copy()), pa.array(r["n"].astype(np.int32)), pa.array(r["off"].astype(np.int32))], names=["open", "hash", "doc", "sub", "at", "n", "off"])
+def marks_of(open_: bool, r: np.ndarray, many: np.ndarray | None = None) -> pa.Table:
+    many = np.zeros(len(r), bool) if many is None else many
+    return pa.table([pa.array(np.full(len(r), open_)), pa.array(many), pa.array(r["hash"].view(np.int64) if len(r) else np.zeros(0, np.int64)), pa.array(r["doc"].copy()), pa.array(r["sub"].copy()), pa.array(r["at"].copy()), pa.array(r["n"].astype(np.int32)), pa.array(r["off"].astype(np.int32))], names=["open", "many", "hash", "doc", "sub", "at", "n", "off"])
 
 
-def judged(packed: pa.Table) -> pa.Table:
-    """Of a bucket's runs: those whose context occurs earlier (open false: all their starts repeat), and
-    the earliest of each context whose anchor has several contexts (open true: to be sorted)."""
+def judged(packed: pa.Table, equal: int, many: int) -> pa.Table:
+    """Of a bucket's runs: those that repeat an earlier one's frequent context (open false: all their starts
+    repeat), and those to be sorted, whose anchor has several runs (open true; many if it has very many)."""
     kinds = packed.column("kind").to_numpy()
     parts = [np.frombuffer(x.as_py(), RUN) for x in packed.column("runs")]
     pick = lambda k: np.concatenate([p for p, q in zip(parts, kinds, strict=True) if q == k] or [np.empty(0, RUN)])
-    r, late = pick(0), pick(1)
-    _, place, times = np.unique(r["hash"], return_inverse=True, return_counts=True)
-    r = r[times[place] > 1]
-    r = r[np.lexsort((r["at"], r["sub"], r["doc"], r["key"], r["hash"]))]
-    first = np.ones(len(r), bool)
-    first[1:] = (r["hash"][1:] != r["hash"][:-1]) | (r["key"][1:] != r["key"][:-1])
-    again, kept = r[~first], r[first]
+    kept, again = set_apart(pick(0), equal)
     _, place, times = np.unique(kept["hash"], return_inverse=True, return_counts=True)
-    return pa.concat_tables([marks_of(False, late), marks_of(False, again), marks_of(True, kept[times[place] > 1])])
+    times = times[place]
+    return pa.concat_tables([marks_of(False, pick(1)), marks_of(False, again), marks_of(True, kept[times > 1], times[times > 1] > many)])
 
 
 def sort_block(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Order of the suffixes at `starts` of a block of contexts, each context padded with zeros: by their
-    first V bytes, then by the residue of the start, then by the rank of the next cover-sample suffix.
-    Suffixes that agree on LENGTH bytes have one residue, as contexts are laid out by their anchor, and
-    stand next to each other."""
+    """Order of the suffixes at `starts` of a block of contexts, each context padded with zeros, by their
+    first LENGTH bytes at least: by V bytes, and suffixes that agree on these by the ranks of the cover-sample
+    suffixes at the offset that leads both there."""
     w = words8(text)
     take = lambda p, k: w[np.minimum(p + k, len(w) - 1)]
     # ranks of the sample suffixes: V bytes by sorting, then doubled until LENGTH bytes are told apart
@@ -181,8 +185,35 @@ def sort_block(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if reach >= LENGTH:
             break
         keys = [rank[sample + reach], rank[sample]]
-    step = STEP[starts % V]
-    return np.lexsort((rank[starts + step], starts % V, *(take(starts, k) for k in range(V - 8, -1, -8))))
+    head = [take(starts, k) for k in range(V - 8, -1, -8)]
+    order = np.lexsort(head)
+    new = np.zeros(len(starts), bool)
+    for k in head:
+        x = k[order]
+        new[1:] |= x[1:] != x[:-1]
+    tied = np.empty(len(starts), np.int64)
+    tied[order] = np.cumsum(new)
+    residue = starts % V
+    # suffixes of one residue have one offset; of those with others, count for each the smaller ones of each residue
+    own = rank[starts + STEP[residue, residue]]
+    group = tied * V + residue
+    order = np.lexsort((own, group))
+    lead = np.flatnonzero(np.diff(group[order], prepend=-1))
+    classes = np.zeros(int(tied.max(initial=0)) + 1, np.int64)
+    np.add.at(classes, group[order][lead] // V, 1)
+    place = np.empty(len(starts), np.int64)
+    place[order] = np.arange(len(starts)) - np.repeat(lead, np.diff(np.append(lead, len(starts))))
+    several = np.flatnonzero(classes[tied] > 1)
+    span = int(rank.max()) + 2
+    by_residue = {int(r): several[residue[several] == r] for r in np.unique(residue[several])}
+    for a, x in by_residue.items():
+        for b, y in by_residue.items():
+            if a != b:
+                step = STEP[a, b]
+                theirs = np.sort(tied[y] * span + rank[starts[y] + step])
+                mine = tied[x] * span + rank[starts[x] + step]
+                place[x] += np.searchsorted(theirs, mine, "right" if b < a else "left") - np.searchsorted(theirs, tied[x] * span)
+    return np.lexsort((place, tied))
 
 
 def repeats(group: pa.Table) -> pa.Table:
@@ -247,30 +278,43 @@ def joined_starts(r: np.ndarray) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The bytes of the open runs: hash, doc, sub, at, n, off (of the anchor), context."""
-    wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "at", "n", "off")).alias("wanted")), "wanted")
+    """The bytes of the open runs: hash, doc, sub, at, n, off (of the anchor), context. Runs of an anchor
+    with very many are cut where the anchor's offset passes a multiple of WIDE, and the hash is that of the
+    bytes which all strings of the cut hold: equal strings have equal offsets, so they stay together."""
+    wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "many", "at", "n", "off")).alias("wanted")), "wanted")
+
+    def cuts(x: dict, text: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+        at, n, off = x["at"], x["n"], x["off"]
+        if not x["many"]:
+            yield x["hash"], at, n, off, text[at : at + n - 1 + LENGTH]
+            return
+        first = 0
+        while first < n:
+            end = min(n, off - (off - first) // WIDE * WIDE + 1)  # the offset falls from start to start
+            k = (off - first) // WIDE
+            low, high = at + off - k * WIDE, at + off - (k * WIDE + WIDE - 1) + LENGTH
+            common = xxhash.xxh3_64_intdigest(text[max(low, 0) : high] + bytes([k]), x["hash"] & (1 << 63) - 1)
+            yield common - (1 << 64) if common >= 1 << 63 else common, at + first, end - first, off - first, text[at + first : at + end - 1 + LENGTH]
+            first = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, sub, text, wanted in zip(*(batch.column(c) for c in ("doc", "sub", "text", "wanted")), strict=True):
                 doc, sub, text = doc.as_py(), sub.as_py(), text.as_py()
-                for x in wanted.as_py():
-                    at, n = x["at"], x["n"]
-                    part = text[at : at + n - 1 + LENGTH]
-                    rows.append((x["hash"], doc, sub, at, n, x["off"], part))
+                rows += [(h, doc, sub, at, n, off, part) for x in wanted.as_py() for h, at, n, off, part in cuts(x, text)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["hash", "doc", "sub", "at", "n", "off", "context"])
 
     return docs.join(wanted, ["doc", "sub"]).mapInArrow(run, "hash long, doc long, sub int, at int, n int, off int, context binary")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, equal: int = EQUAL, many: int = RUNS) -> DataFrame:
     """doc, sub and the byte ranges to remove (arrays `starts` and `ends`, merged and in order)."""
     spark = docs.sparkSession
     n_bytes = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (64 << 20))
-    marks = stored(scattered(docs, buckets).groupBy("bucket").applyInArrow(judged, MARKS), "marks")
+    marks = stored(scattered(docs, buckets, equal).groupBy("bucket").applyInArrow(lambda t: judged(t, equal, many), MARKS), "marks")
     bucket = F.pmod("hash", F.lit(buckets))
     more = contexts(docs, marks).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: repeats(t), MARKS)
     found = marks.where("not open").unionAll(more)
@@ -293,9 +337,10 @@ def removals(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("found")).mapInArrow(merge, "doc long, sub int, starts array<long>, ends array<long>")
 
 
-def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, keep_text: bool = False, equal: int = EQUAL, many: int = RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, and with keep_text the
-    remaining bytes (which may cut a character).
+    remaining bytes (which may cut a character). `equal` and `many` (see EQUAL, RUNS) bound hot groups and
+    change no result.
 
     Null text counts as empty; texts under LENGTH bytes lose nothing. A null doc_id comes before all
     others; rows of one doc_id are taken in order of their text, each as a document of its own. An empty
@@ -303,9 +348,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     and nothing matches across documents.
     """
     own = numbered(docs)
-    cut = stored(removals(own), "removals")
-    if cut.count() <= BROADCAST_DOCS:
-        cut = F.broadcast(cut)
+    cut = stored(removals(own, equal, many), "removals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

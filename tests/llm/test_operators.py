@@ -231,7 +231,7 @@ def test_html_odd(spark):
     long = "<article>" + "<p>The story of the day is in the hand of the many, and it was for them to be on the road. </p>" * 20_000 + "</article>"
     rows = [(1, None, long, "x"), (1, None, long, "x"), (2, "u", "<nav>only</nav>", None), (3, "u", "no markup, and short", None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")).collect()
-    assert [r.n_chars for r in got if r.page_id == 1] == [86 * 20_000 + 2 * 19_999] * 2 and {r.text for r in got if r.page_id in (2, 3)} == {""}
+    assert [r.n_chars for r in got if r.page_id == 1] == [87 * 20_000 + 2 * 19_999] * 2 and {r.text for r in got if r.page_id in (2, 3)} == {""}
 
 
 # --- 4 PII
@@ -435,7 +435,11 @@ def test_minhash_odd(odd, empty):
     assert len(got) == odd.count() and minhash.near_duplicates(empty).count() == 0
     comp = {(r.doc_id, r.n_shingles > 0): r.component_id for r in got}
     assert comp[(2, True)] == comp[(8, True)] == 1 and comp[(5, True)] == 4 and comp[(3, False)] == 3 and comp[(None, True)] is None
-    assert minhash.one_of_each(odd).where("doc_id is null").count() == 2
+    kept = minhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    # of the fox only the first row; rows without words all stay
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.key) for r in kept.collect()) == [(False, 1, 1), (False, 2, 3), (False, 3, 4), (False, 4, 7), (False, 6, 9), (False, 7, 10), (True, 0, 6)]
+    assert minhash.one_of_each(empty).count() == 0
 
 
 # --- 8 suffixes
@@ -477,6 +481,31 @@ def test_sorting_puts_equal_prefixes_together():
     assert set((a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER) == set(range(suffixes.V))
 
 
+def test_sorting_is_the_order_of_the_suffixes():
+    """Suffixes of all residues, in texts that repeat themselves at every distance."""
+    rng = np.random.default_rng(4)
+    for text in (rng.integers(97, 99, 3000), np.tile(rng.integers(97, 100, 37), 80), np.tile([97, 98, 97, 97, 98], 600), np.full(2000, 97), np.concatenate([np.tile([97, 98], 500), np.tile([97, 98], 500), [99]])):
+        text = np.concatenate((text.astype(np.uint8), np.zeros(256, np.uint8)))
+        starts = np.arange(0, len(text) - 256)
+        keys = [text[s : s + suffixes.LENGTH].tobytes() for s in starts[suffixes.sort_block(text, starts)]]
+        assert keys == sorted(keys)
+
+
+def test_suffixes_of_hot_anchors(spark):
+    """Anchors that are split, and contexts that stand for others, give the same removals."""
+    rng = random.Random(8)
+    phrase = "a frequent phrase of more than twenty four bytes "
+    letters = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    pieces = [letters(60) for _ in range(6)]
+    rows = [(i, "".join(rng.choice([letters(40), phrase, rng.choice(pieces)]) for _ in range(12))) for i in range(60)]
+    rows += [(100 + i, FOX) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_suffixes(rows)
+    for many, equal in ((4096, 16), (2, 1), (0, 10**9)):
+        got = suffixes.deduplicate(docs, equal=equal, many=many).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_suffixes_odd(odd, empty):
     got = suffixes.deduplicate(odd, keep_text=True).collect()
     assert len(got) == odd.count() and suffixes.deduplicate(empty).count() == 0
