@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set here only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a session in one
+    JVM gets a temporary one; on a cluster that is an error, as executors wouldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -25,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, rows: int | None = None, per_task: int = 50_000) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so a lost
-    executor costs a read and not the work that made the table. Where a bound of its rows is known, the
-    last stage has one task for each per_task of them, so that small tables don't cost many tiny tasks."""
+    executor costs a read and not the work that made the table. Where a bound of the rows of a table of a
+    few numbers a row is known, the last stage has one task for each per_task of them, so that small tables
+    don't cost many tiny tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None and (n := 1 + rows // per_task) < int(spark.conf.get("spark.sql.shuffle.partitions")):

@@ -134,7 +134,7 @@ def band_pairs(members: DataFrame) -> DataFrame:
     rows = members.count()
     weight = stored(members.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("times")).alias("weight")), "weight", rows)
     weighed = stored(members.where(F.col("n") > SMALL).join(weight, "doc_id").select("key", "doc_id", "weight"), "weighed", rows)
-    centre = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre")), "centre", rows)
+    centre = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("minus"))).alias("top")).select("key", F.bitwise_not("top.minus").alias("centre")), "centre", rows)
     star = weighed.join(centre, "key").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
     every = "explode(flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b)))))"
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select(F.expr(every).alias("p")).select("p.a", "p.b")
@@ -315,9 +315,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of the documents that near_duplicates keeps."""
-    drop = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["__drop"], "left_anti")
+    """The rows of docs, all columns, of the documents that near_duplicates keeps: one row of each group.
+
+    Where doc_ids are null or repeated, rows are numbered first, in order of doc_id (null last) and text, and
+    each is a document of its own: of copies with one id or without one, the first row stays. Rows
+    without words stay.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    odd = ids.where("doc_id is null").limit(1).count() or ids.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not odd:
+        drop = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__drop"))
+        return docs.join(drop, docs["doc_id"].cast("long") == drop["__drop"], "left_anti")
+    rows = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.col("text").cast("string")).withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "rows")  # the numbers are fixed from here on
+    drop = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
