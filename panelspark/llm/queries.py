@@ -15,5 +15,23 @@ from .suffixes import op8_suffixes
 
 QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
-#: SQL twins; the other operators have none because SQL can't express them (see tests/llm).
-ORACLES: dict[str, str] = {}
+#: Shingle sets compared by a self-join, and classes by their smallest reachable id.
+OP7 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+    FROM documents),
+sets AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words),
+flat AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM (SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS n FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) j
+    JOIN sets a ON a.doc_id = p JOIN sets b ON b.doc_id = q
+    WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
+
+#: SQL twins; SQL can't express the other operators (see tests/llm).
+ORACLES = {"op7_minhash": OP7}
