@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diagnostics import date_chunks
-from .selection import small
 
 
 def folds(panel: DataFrame, n: int = 4) -> DataFrame:
     """panel with chunk: fold i trains on chunks 0..i-1 and tests on chunk i."""
-    return panel.join(small(date_chunks(panel, n)), "date")
+    return panel.join(date_chunks(panel, n), "date")
 
 
 def walk_forward(panel: DataFrame, features: list[str], label: str, n: int = 4, kind: str = "gbt", **params) -> DataFrame:
@@ -26,7 +25,7 @@ def walk_forward(panel: DataFrame, features: list[str], label: str, n: int = 4,
         train, test = rows.where(F.col("chunk") < fold), rows.where(F.col("chunk") == fold)
         if kind == "gbt":
             dates = train.select("date").distinct().withColumn("_p", F.percent_rank().over(Window.orderBy("date")))  # one row per date
-            train = train.join(small(dates), "date").withColumn("held", F.col("_p") > 0.9)
+            train = train.join(F.broadcast(dates), "date").withColumn("held", F.col("_p") > 0.9)
             model = GBTRegressor(labelCol=label, validationIndicatorCol="held", **({"maxIter": 20, "maxDepth": 4, "seed": 1} | params))
         elif kind == "forest":
             model = RandomForestRegressor(labelCol=label, **({"numTrees": 20, "seed": 1} | params))

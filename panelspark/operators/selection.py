@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Universes and alias maps are broadcast up to so many rows, else joined by a shuffle.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, hinted for broadcast where a count shows that it is small."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows from start to end, both included; the filter reaches the scan."""
@@ -22,7 +14,7 @@ def date_range(df: DataFrame, start: str | None = None, end: str | None = None)
 
 
 def in_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
-    return df.join(small(universe.select("ticker").distinct()), "ticker", "left_semi")
+    return df.join(universe.select("ticker").distinct(), "ticker", "left_semi")
 
 
 def missing_from(df: DataFrame, universe: DataFrame) -> DataFrame:
@@ -68,7 +60,7 @@ def nearest_date(df: DataFrame, day: str) -> DataFrame:
 def last_dates(df: DataFrame, n: int) -> DataFrame:
     """Rows of the last n dates."""
     days = df.select("date").distinct().orderBy(F.desc("date")).limit(n)
-    return df.join(small(days), "date", "left_semi")
+    return df.join(days, "date", "left_semi")
 
 
 def last_months(df: DataFrame, n: int) -> DataFrame:
@@ -80,7 +72,7 @@ def last_months(df: DataFrame, n: int) -> DataFrame:
 def next_dates(df: DataFrame) -> DataFrame:
     """Rows moved to the next date of the calendar; those of the last date go."""
     d = df.select("date").distinct().withColumn("_n", F.lead("date").over(Window.orderBy("date")))
-    return df.join(small(d), "date").where("_n is not null").withColumn("date", F.col("_n")).drop("_n")
+    return df.join(d, "date").where("_n is not null").withColumn("date", F.col("_n")).drop("_n")
 
 
 def lagged(df: DataFrame, columns: list[str], k: int = 1) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import small
-
 
 def ny_time(utc: Column) -> Column:
     """Timestamps or texts (with or without a time) from UTC to New York."""
@@ -26,9 +24,11 @@ def normalized_fills(fills: DataFrame, commissions: DataFrame | None = None) ->
 
 
 def outside_windows(fills: DataFrame, windows: DataFrame, time: str = "time") -> DataFrame:
-    """Fills outside all bad windows (start and end included); fills without a time stay. The windows are a
-    short list, whose size is checked before it is broadcast."""
-    return fills.join(small(windows), F.col(time).between(F.col("start"), F.col("end")), "left_anti")
+    """Fills outside all bad windows (start and end included); fills without a time stay. Windows are joined
+    by the days they touch."""
+    days = windows.where("start <= end").withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    own = fills.withColumn("_day", F.to_date(F.col(time)))
+    return own.join(days.select("_day", "start", "end"), (own["_day"] == days["_day"]) & F.col(time).between(F.col("start"), F.col("end")), "left_anti").drop("_day")
 
 
 def filtered(fills: DataFrame, start: str | None = None, end: str | None = None, symbol: str | None = None, time: str = "time") -> DataFrame:

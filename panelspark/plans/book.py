@@ -57,10 +57,6 @@ def entries() -> dict[str, tuple]:
     odd_sql = f"odd AS (SELECT date, ticker, close, adj_close - 2000 AS adj_close, volume - 20 AS volume FROM ({bars_sql()}))"
     q["repair"] = (lambda s, d: rd(sl.repaired(odd(s, d)).select("date", "ticker", "adj_close", "volume"), digits=4), f"WITH {odd_sql} SELECT date, ticker, {r('CASE WHEN adj_close >= 0 THEN adj_close END', 'adj_close', 4)}, {r('CASE WHEN volume < 0 THEN 0 ELSE volume END', 'volume', 4)} FROM odd")
     q["repair_counts"] = (lambda s, d: sl.repair_counts(odd(s, d)), f"WITH {odd_sql} SELECT count(*) FILTER (close < 0) AS negative_close, count(*) FILTER (adj_close < 0) AS negative_adj_close, count(*) FILTER (volume < 0) AS negative_volume, count(*) AS rows FROM odd")
-    q["ticker_market"] = (
-        lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("name"), sl.ticker_market(F.regexp_replace(F.substring("n_name", 1, 4), "NATI", "AB")).alias("market")),
-        "SELECT n_name AS name, 'us' AS market FROM nation",
-    )
     q["canonical_ticker"] = (lambda s, d: table(s, d, "part").select(sl.canonical_ticker(F.col("p_name")).alias("ticker")).groupBy("ticker").count().withColumnRenamed("count", "n"), "SELECT regexp_replace(upper(trim(p_name)), '[. ]+', '-', 'g') AS ticker, count(*) AS n FROM part GROUP BY 1")
     q["nearest_date"] = (lambda s, d: sl.nearest_date(bars(s, d), "1997-05-07"), f"SELECT max(date) AS date FROM ({bars_sql()}) WHERE date <= DATE '1997-05-07'")
     q["last_dates"] = (lambda s, d: sl.last_dates(bars(s, d), 5).groupBy("date").agg(F.count("*").alias("n")), f"SELECT date, count(*) AS n FROM ({bars_sql()}) GROUP BY date ORDER BY date DESC LIMIT 5")
@@ -113,7 +109,6 @@ def entries() -> dict[str, tuple]:
         f"SELECT CAST(user_id AS VARCHAR) AS account, {r(chr(109) + 'ax(CASE WHEN event_type = ' + chr(39) + 'click' + chr(39) + ' THEN value END)', 'click')}, {r('max(CASE WHEN event_type = ' + chr(39) + 'view' + chr(39) + ' THEN value END)', 'view')} FROM events WHERE event_id % 5 <> 0 GROUP BY 1",
     )
     # risk model
-    q["bucket_classify"] = (lambda s, d: rk.classify(long(s, d).select("factor").distinct()), "SELECT * FROM (VALUES ('mom20', 'Momentum'), ('rev5', 'Momentum'), ('vol20', 'Volatility'), ('liq20', 'Liquidity'), ('range1', 'Volatility')) t(factor, bucket)")
     R = f"{PANEL}, {WIDE}, {LONG}, {LABELS}"
     single = lambda s, d: long(s, d).where(F.col("factor").isin("mom20", "vol20")).select("date", "ticker", F.col("factor").alias("bucket"), F.col("value").alias("score"))
     q["portfolio_exposure"] = (lambda s, d: rd(rk.portfolio_exposure(single(s, d), pl.weights(s, d))), f"WITH {pl.W5}, {LONG} SELECT date, factor AS style, {r('sum(weight * value) / nullif(sum(weight), 0)', 'exposure')} FROM long JOIN w5 USING (date, ticker) WHERE factor IN ('mom20', 'vol20') AND value IS NOT NULL GROUP BY 1, 2")
@@ -133,7 +128,6 @@ def entries() -> dict[str, tuple]:
         lambda s, d: rd(rk.ewma_covariance(_two_returns(s, d)), digits=5),
         f"WITH {TWO}, a AS (SELECT *, row_number() OVER (ORDER BY date DESC) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM two)), w AS (SELECT date, pow(0.94, k) * CASE WHEN k = n - 1 THEN 1 ELSE 0.06 END AS w FROM a), j AS (SELECT x.style AS style_a, y.style AS style_b, w, x.factor_return AS x, y.factor_return AS y FROM two x JOIN two y USING (date) JOIN w USING (date)) SELECT style_a, style_b, {r('(sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) * (sum(w) * sum(w) / (sum(w) * sum(w) - sum(w * w)))', 'covariance', 5)} FROM j GROUP BY 1, 2",
     )
-    q["factor_returns_ols"] = (lambda s, d: rk.factor_returns(wide(s, d), labels(s, d), ["mom20", "vol20"]), None)
     q["factor_return_single"] = (
         lambda s, d: rd(rk.factor_returns(wide(s, d), labels(s, d), ["mom20"]), digits=5),
         f"WITH {R}, j AS (SELECT date, mom20 AS x, label AS y FROM wide JOIN labels USING (date, ticker) WHERE mom20 IS NOT NULL AND label IS NOT NULL) SELECT date, 'mom20' AS style, {r('regr_slope(y, x)', 'factor_return', 5)} FROM j GROUP BY date HAVING count(*) > 2",
