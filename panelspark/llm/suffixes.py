@@ -32,7 +32,7 @@ V = 32
 #: Bytes of text in a block of documents, and of contexts in a block of suffixes.
 BLOCK_BYTES, SORT_BYTES = 1 << 20, 4 << 20
 #: Of more than so many equal contexts the earliest stands for all.
-EQUAL = 16
+EQUAL = 2
 #: An anchor with more runs is split into anchors with WIDE starts each.
 RUNS, WIDE = 4096, 8
 
@@ -164,8 +164,7 @@ def judged(packed: pa.Table, equal: int, many: int) -> pa.Table:
 
 
 def sort_block(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Order of the suffixes at `starts` of a block of contexts, each context padded with zeros, by their
-    first LENGTH bytes at least: by V bytes, and suffixes that agree on these by the ranks of the cover-sample
+    """Order of the suffixes at `starts` of a block of contexts by their first LENGTH bytes at least: by V bytes, and suffixes that agree on these by the ranks of the cover-sample
     suffixes at the offset that leads both there."""
     w = words8(text)
     take = lambda p, k: w[np.minimum(p + k, len(w) - 1)]
@@ -185,35 +184,36 @@ def sort_block(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if reach >= LENGTH:
             break
         keys = [rank[sample + reach], rank[sample]]
+    # one order by V bytes, residue, and rank at the residue's own offset
+    residue = starts % V
+    own = rank[starts + STEP[residue, residue]]
     head = [take(starts, k) for k in range(V - 8, -1, -8)]
-    order = np.lexsort(head)
+    order = np.lexsort((own, residue, *head))
     new = np.zeros(len(starts), bool)
     for k in head:
         x = k[order]
         new[1:] |= x[1:] != x[:-1]
-    tied = np.empty(len(starts), np.int64)
-    tied[order] = np.cumsum(new)
-    residue = starts % V
-    # suffixes of one residue have one offset; of those with others, count for each the smaller ones of each residue
-    own = rank[starts + STEP[residue, residue]]
-    group = tied * V + residue
-    order = np.lexsort((own, group))
-    lead = np.flatnonzero(np.diff(group[order], prepend=-1))
-    classes = np.zeros(int(tied.max(initial=0)) + 1, np.int64)
-    np.add.at(classes, group[order][lead] // V, 1)
-    place = np.empty(len(starts), np.int64)
-    place[order] = np.arange(len(starts)) - np.repeat(lead, np.diff(np.append(lead, len(starts))))
-    several = np.flatnonzero(classes[tied] > 1)
+    group = np.cumsum(new)
+    turn = np.flatnonzero(new | (np.diff(residue[order], prepend=-1) != 0))
+    several = np.bincount(group[turn], minlength=len(starts))[group] > 1
+    if not several.any():
+        return order
+    # among suffixes of other residues each finds its place by counting the smaller ones of each residue
+    part = np.flatnonzero(several)
+    x, g = order[part], group[part]
+    turns = np.flatnonzero((np.diff(g, prepend=-1) != 0) | (np.diff(residue[x], prepend=-1) != 0))
+    place = np.arange(len(x)) - np.repeat(turns, np.diff(np.append(turns, len(x))))
     span = int(rank.max()) + 2
-    by_residue = {int(r): several[residue[several] == r] for r in np.unique(residue[several])}
-    for a, x in by_residue.items():
-        for b, y in by_residue.items():
+    by_residue = {int(r): np.flatnonzero(residue[x] == r) for r in np.unique(residue[x])}
+    for a, i in by_residue.items():
+        for b, j in by_residue.items():
             if a != b:
                 step = STEP[a, b]
-                theirs = np.sort(tied[y] * span + rank[starts[y] + step])
-                mine = tied[x] * span + rank[starts[x] + step]
-                place[x] += np.searchsorted(theirs, mine, "right" if b < a else "left") - np.searchsorted(theirs, tied[x] * span)
-    return np.lexsort((place, tied))
+                theirs = np.sort(g[j] * span + rank[starts[x[j]] + step])
+                mine = g[i] * span + rank[starts[x[i]] + step]
+                place[i] += np.searchsorted(theirs, mine, "right" if b < a else "left") - np.searchsorted(theirs, g[i] * span)
+    order[part] = x[np.lexsort((place, g))]
+    return order
 
 
 def repeats(group: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def repeats(group: pa.Table) -> pa.Table:
     while k < len(contexts):  # blocks end between anchors
         j, size = k, 0
         while j < len(contexts) and (size < SORT_BYTES or hashes[j] == hashes[j - 1]):
-            size += len(contexts[j]) + 2 * V
+            size += len(contexts[j]) + V
             j += 1
         out.append(block_repeats(hashes[k:j], docs[k:j], subs[k:j], ats[k:j], ns[k:j], offs[k:j], contexts[k:j]))
         k = j
@@ -235,8 +235,8 @@ def repeats(group: pa.Table) -> pa.Table:
 
 def block_repeats(hashes, docs, subs, ats, ns, offs, contexts) -> pa.Table:
     size = np.array([len(c) for c in contexts], np.int64)
-    # a context begins where its anchor falls on a multiple of V
-    room = (size + 2 * V + V - 1) // V * V
+    # a context begins where its anchor falls on a multiple of V; what lies behind it changes no order within LENGTH bytes
+    room = (size + V + V - 1) // V * V
     base = np.concatenate(([0], np.cumsum(room)))[:-1] + (-offs) % V
     text = np.zeros(int(room.sum()) + 2 * LENGTH, np.uint8)
     flat = np.frombuffer(b"".join(contexts), np.uint8)
