@@ -166,7 +166,7 @@ def entries() -> dict[str, tuple]:
     q["covariance_of_previous"] = (lambda s, d: rd(rk.previous_covariance(fr(s, d)), digits=4), f"WITH {PANEL}, {WIDE}, {LABELS}, {OLS}, {FR}, {PREV} SELECT date, style_a, style_b, {r('covariance', digits=4)} FROM prev")
     q["specific_risk"] = (lambda s, d: rd(rk.specific_risk(rk.residuals(wide(s, d), labels(s, d), fr(s, d), STYLES), pl.weights(s, d)), digits=5), f"WITH {pl.W5}, {OLS}, {RESID}, {SPEC} SELECT date, {rs('specific_sd', 'specific_variance', digits=5)} FROM spec")
     q["risk_table"] = (lambda s, d: rd(jobs.risk_table(wide(s, d), labels(s, d), pl.weights(s, d), STYLES), digits=3), f"WITH {RISK} SELECT date, style, {r('exposure', digits=3)}, {r('contribution', digits=3)}, {r('total_variance', digits=3)} FROM deco LEFT JOIN expo USING (date, style) WHERE date IN (SELECT DISTINCT date FROM deco ORDER BY date DESC LIMIT 30)")
-    q["risk_table_day"] = (lambda s, d: rd(rp.style_rows(jobs.risk_table(wide(s, d), labels(s, d), pl.weights(s, d), STYLES), "2000-10-15"), digits=3), f"WITH {RISK}, t AS (SELECT date, style, exposure, contribution, total_variance FROM deco LEFT JOIN expo USING (date, style) WHERE date IN (SELECT DISTINCT date FROM deco ORDER BY date DESC LIMIT 30)) SELECT date, style, {rs('exposure', 'contribution', 'total_variance', digits=3)} FROM t WHERE date = (SELECT max(date) FROM t WHERE date <= DATE '2000-10-15')")
+    q["risk_table_day"] = (lambda s, d: rd(rp.style_rows(jobs.risk_table(wide(s, d), labels(s, d), pl.weights(s, d), STYLES), "2001-08-01"), digits=3), f"WITH {RISK}, t AS (SELECT date, style, exposure, contribution, total_variance FROM deco LEFT JOIN expo USING (date, style) WHERE date IN (SELECT DISTINCT date FROM deco ORDER BY date DESC LIMIT 30)) SELECT date, style, {rs('exposure', 'contribution', 'total_variance', digits=3)} FROM t WHERE date = (SELECT max(date) FROM t WHERE date <= DATE '2001-08-01')")
     q["regression_exposure"] = (
         lambda s, d: rd(rk.regression_exposure(long(s, d), scores(s, d, ["mom20"]), ["mom20"]), digits=4),
         f"WITH {PANEL}, {WIDE}, {LONG}, j AS (SELECT date, factor, regr_slope(value, mom20) AS b FROM long JOIN wide USING (date, ticker) WHERE value IS NOT NULL AND mom20 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) SELECT factor, 'mom20' AS style, {r('avg(b)', 'exposure', 4)} FROM j GROUP BY factor",
