@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def dropout_step(held: list[str], scores: list[str], k: int, n_drop: int) -> list[str]:
@@ -22,8 +23,9 @@ def dropout_step(held: list[str], scores: list[str], k: int, n_drop: int) -> lis
 
 
 def top_k_dropout(scores: DataFrame, k: int = 50, n_drop: int = 5) -> DataFrame:
-    """strategy, date, ticker, weight. A group is one strategy's scored dates; its holdings are carried
-    from date to date, ties in score go by ticker, null scores are left out."""
+    """strategy, date, ticker, weight; ties in score go by ticker, null scores are left out. The holdings are
+    carried from date to date, so a strategy is one group, but of its rows only those of names that were
+    among the 2k + n_drop best on that date or before: no other name can be held or bought."""
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         held: list[str] = []
@@ -35,4 +37,7 @@ def top_k_dropout(scores: DataFrame, k: int = 50, n_drop: int = 5) -> DataFrame:
         out = pd.DataFrame(rows, columns=["strategy", "date", "ticker", "weight"])
         return out.astype({"weight": "float64"})
 
-    return scores.select("strategy", "date", "ticker", "prediction").groupBy("strategy").applyInPandas(one, "strategy string, date date, ticker string, weight double")
+    ranked = scores.where("prediction is not null").select("strategy", "date", "ticker", "prediction", F.row_number().over(Window.partitionBy("strategy", "date").orderBy(F.desc("prediction"), "ticker")).alias("_r"))
+    past = Window.partitionBy("strategy", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    able = ranked.withColumn("_b", F.min("_r").over(past)).where(F.col("_b") <= 2 * k + n_drop)
+    return able.select("strategy", "date", "ticker", "prediction").groupBy("strategy").applyInPandas(one, "strategy string, date date, ticker string, weight double")

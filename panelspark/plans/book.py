@@ -110,19 +110,19 @@ def entries() -> dict[str, tuple]:
     )
     # risk model
     R = f"{PANEL}, {WIDE}, {LONG}, {LABELS}"
-    single = lambda s, d: long(s, d).where(F.col("factor").isin("mom20", "vol20")).select("date", "ticker", F.col("factor").alias("bucket"), F.col("value").alias("score"))
-    q["portfolio_exposure"] = (lambda s, d: rd(rk.portfolio_exposure(single(s, d), pl.weights(s, d))), f"WITH {pl.W5}, {LONG} SELECT date, factor AS style, {r('sum(weight * value) / nullif(sum(weight), 0)', 'exposure')} FROM long JOIN w5 USING (date, ticker) WHERE factor IN ('mom20', 'vol20') AND value IS NOT NULL GROUP BY 1, 2")
+    single = lambda s, d: long(s, d).select("date", "ticker", F.col("factor").alias("bucket"), F.col("value").alias("score"))
+    q["portfolio_exposure"] = (lambda s, d: rd(rk.portfolio_exposure(single(s, d), pl.weights(s, d)), digits=4), f"WITH {pl.W5}, {LONG} SELECT date, factor AS style, {r('sum(weight * value) / nullif(sum(weight), 0)', 'exposure', 4)} FROM long JOIN w5 USING (date, ticker) WHERE value IS NOT NULL GROUP BY 1, 2")
     q["raw_exposure"] = (
         lambda s, d: rd(rk.raw_exposure(long(s, d), pl.weights(s, d), 3)),
         f"WITH {pl.W5}, {LONG}, m AS (SELECT date, factor, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY 1, 2), h AS (SELECT date, factor, sum(weight * value) / nullif(sum(weight), 0) AS h FROM long JOIN w5 USING (date, ticker) WHERE value IS NOT NULL GROUP BY 1, 2), e AS (SELECT date, factor, (h - m) / nullif(s, 0) AS exposure FROM h JOIN m USING (date, factor)), f AS (SELECT *, 100 * exposure * exposure / nullif(sum(exposure * exposure) OVER (PARTITION BY date), 0) AS share, row_number() OVER (PARTITION BY date ORDER BY abs(exposure) DESC, factor) AS k FROM e WHERE exposure IS NOT NULL) SELECT date, factor, {rs('exposure', 'share')} FROM f WHERE k <= 3",
     )
     q["style_exposure"] = (
         lambda s, d: rd(rk.style_exposure(long(s, d), single(s, d))),
-        f"WITH {R}, j AS (SELECT a.date, a.factor, b.factor AS style, a.value AS x, b.value AS y FROM long a JOIN long b USING (date, ticker) WHERE b.factor IN ('mom20', 'vol20') AND a.value IS NOT NULL AND b.value IS NOT NULL), c AS (SELECT date, factor, style, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS a, stddev_pop(y) AS b FROM j GROUP BY 1, 2, 3) SELECT factor, style, {r('avg(c / (a * b))', 'exposure')} FROM c WHERE n >= 10 AND a > 1e-12 AND b > 1e-12 GROUP BY 1, 2",
+        f"WITH {R}, j AS (SELECT a.date, a.factor, b.factor AS style, a.value AS x, b.value AS y FROM long a JOIN long b USING (date, ticker) WHERE a.value IS NOT NULL AND b.value IS NOT NULL), c AS (SELECT date, factor, style, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS a, stddev_pop(y) AS b FROM j GROUP BY 1, 2, 3) SELECT factor, style, {r('avg(c / (a * b))', 'exposure')} FROM c WHERE n >= 10 AND a > 1e-12 AND b > 1e-12 GROUP BY 1, 2",
     )
     q["dominant_style"] = (
         lambda s, d: rd(rk.dominant_style(rk.style_exposure(long(s, d), single(s, d)), 0.3)),
-        f"WITH {R}, j AS (SELECT a.date, a.factor, b.factor AS style, a.value AS x, b.value AS y FROM long a JOIN long b USING (date, ticker) WHERE b.factor IN ('mom20', 'vol20') AND a.value IS NOT NULL AND b.value IS NOT NULL), c AS (SELECT date, factor, style, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS a, stddev_pop(y) AS b FROM j GROUP BY 1, 2, 3), e AS (SELECT factor, style, avg(c / (a * b)) AS exposure FROM c WHERE n >= 10 AND a > 1e-12 AND b > 1e-12 GROUP BY 1, 2) SELECT factor, CASE WHEN max(abs(exposure)) >= 0.3 THEN arg_max(style, abs(exposure)) ELSE 'Custom' END AS dominant_style, {r('max(abs(exposure))', 'size')} FROM e GROUP BY 1",
+        f"WITH {R}, j AS (SELECT a.date, a.factor, b.factor AS style, a.value AS x, b.value AS y FROM long a JOIN long b USING (date, ticker) WHERE a.value IS NOT NULL AND b.value IS NOT NULL), c AS (SELECT date, factor, style, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS a, stddev_pop(y) AS b FROM j GROUP BY 1, 2, 3), e AS (SELECT factor, style, avg(c / (a * b)) AS exposure FROM c WHERE n >= 10 AND a > 1e-12 AND b > 1e-12 GROUP BY 1, 2) SELECT factor, CASE WHEN max(abs(exposure)) >= 0.3 THEN arg_max(style, abs(exposure)) ELSE 'Custom' END AS dominant_style, {r('max(abs(exposure))', 'size')} FROM e GROUP BY 1",
     )
     q["ewma_covariance"] = (
         lambda s, d: rd(rk.ewma_covariance(_two_returns(s, d)), digits=5),
@@ -135,7 +135,6 @@ def entries() -> dict[str, tuple]:
     q["bucket_scores"] = (lambda s, d: rk.bucket_scores(wide(s, d), {"Momentum": ["mom20", "rev5"], "Volatility": ["vol20", "range1"], "Liquidity": ["liq20"]}), None)
     q["orthogonal_styles"] = (lambda s, d: rk.orthogonal(wide(s, d), ["mom20", "vol20", "liq20"]), None)
     q["ta_recursive"] = (lambda s, d: ti.recursive(bars(s, d)), None)
-    q["risk_shares"] = (lambda s, d: rk.risk_shares(rk.portfolio_exposure(single(s, d), pl.weights(s, d)), rk.ewma_covariance(rk.factor_returns(wide(s, d), labels(s, d), ["mom20", "vol20"])), 0.01), None)
     return q
 
 

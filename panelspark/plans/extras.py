@@ -9,8 +9,10 @@ from panelspark.operators import cleaning as cl
 from panelspark.operators import combine as cb
 from panelspark.operators import covariance as cv
 from panelspark.operators import diagnostics as dg
+from panelspark.operators import models as md
 from panelspark.operators import reports as rp
 from panelspark.operators import risk as rk
+from panelspark.operators import trades as tr
 from panelspark.sources.panel import bars, bars_sql, grid_sql
 
 from . import jobs
@@ -163,6 +165,17 @@ def entries() -> dict[str, tuple]:
     # risk
     q["factor_returns_ols"] = (lambda s, d: rd(rk.factor_returns(wide(s, d), labels(s, d), STYLES), digits=4), f"WITH {PANEL}, {WIDE}, {LABELS}, {OLS}, {FR} SELECT date, style, {r('factor_return', digits=4)} FROM fr")
     fr = lambda s, d: rk.factor_returns(wide(s, d), labels(s, d), STYLES)
+    last = "age AS (SELECT date, pow(0.94, k) * CASE WHEN k = n - 1 THEN 1 ELSE 0.06 END AS w FROM (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fr))), cov AS (SELECT x.style AS style_a, y.style AS style_b, (sum(w * x.factor_return * y.factor_return) / sum(w) - sum(w * x.factor_return) / sum(w) * sum(w * y.factor_return) / sum(w)) * (sum(w) * sum(w) / (sum(w) * sum(w) - sum(w * w))) AS covariance FROM fr x JOIN fr y USING (date) JOIN age USING (date) GROUP BY 1, 2)"
+    q["risk_shares"] = (
+        lambda s, d: rd(rk.risk_shares(rk.portfolio_exposure(scores(s, d), pl.weights(s, d)), rk.ewma_covariance(fr(s, d)), 0.01), digits=3),
+        f"WITH {pl.W5}, {LONG}, {OLS}, {FR}, {EXPO}, {last}, v AS (SELECT a.date, a.style, sum(a.exposure * covariance * b.exposure) AS v FROM expo a JOIN cov ON style_a = a.style JOIN expo b ON b.date = a.date AND style_b = b.style GROUP BY 1, 2), t AS (SELECT *, sum(v) OVER (PARTITION BY date) + 0.01 AS total FROM v) SELECT date, style, {r('100 * v / total', 'contribution', 3)}, {r('1.0 / total', 'specific', 3)} FROM t WHERE total > 0",
+    )
+    q["walk_forward_linear"] = (lambda s, d: md.walk_forward(wide(s, d).join(labels(s, d), ["date", "ticker"]), ["mom20", "vol20"], "label", 3, kind="linear"), None)
+    trades = lambda s, d: bars(s, d).groupBy("ticker").agg(F.max_by("adj_close", "date").alias("price"), F.count("*").alias("n"))
+    q["trade_deltas"] = (
+        lambda s, d: rd(tr.trade_deltas(trades(s, d).where("n % 2 = 0").select(F.lit("x").alias("account"), "ticker", F.lit(0.04).alias("weight"), "price", F.lit(1).alias("ord")), trades(s, d).where("n % 3 = 0").select(F.lit("x").alias("account"), "ticker", F.col("n").cast("double").alias("shares")), 1e6, 1e9)),
+        f"WITH x AS (SELECT ticker, arg_max(adj_close, date) AS price, count(*) AS n FROM ({bars_sql()}) GROUP BY ticker), j AS (SELECT ticker, price, n, CASE WHEN n % 2 = 0 THEN floor(1e6 * 0.04 / price) ELSE 0 END - CASE WHEN n % 3 = 0 THEN n ELSE 0 END AS raw FROM x WHERE n % 2 = 0 OR n % 3 = 0) SELECT 'x' AS account, ticker, {r('CAST(raw AS DOUBLE)', 'delta')} FROM j WHERE abs(raw) >= 1 AND (raw < 0 OR n % 2 <> 0 OR raw * price >= 100)",
+    )
     q["covariance_of_previous"] = (lambda s, d: rd(rk.previous_covariance(fr(s, d)), digits=4), f"WITH {PANEL}, {WIDE}, {LABELS}, {OLS}, {FR}, {PREV} SELECT date, style_a, style_b, {r('covariance', digits=4)} FROM prev")
     q["specific_risk"] = (lambda s, d: rd(rk.specific_risk(rk.residuals(wide(s, d), labels(s, d), fr(s, d), STYLES), pl.weights(s, d)), digits=5), f"WITH {pl.W5}, {OLS}, {RESID}, {SPEC} SELECT date, {rs('specific_sd', 'specific_variance', digits=5)} FROM spec")
     q["risk_table"] = (lambda s, d: rd(jobs.risk_table(wide(s, d), labels(s, d), pl.weights(s, d), STYLES), digits=3), f"WITH {RISK} SELECT date, style, {r('exposure', digits=3)}, {r('contribution', digits=3)}, {r('total_variance', digits=3)} FROM deco LEFT JOIN expo USING (date, style) WHERE date IN (SELECT DISTINCT date FROM deco ORDER BY date DESC LIMIT 30)")

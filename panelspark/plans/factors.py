@@ -51,7 +51,10 @@ def entries() -> dict[str, tuple]:
         group = {n: signals[n] for n in names[k : k + 5]}
         out[f"alphas_{names[k][-3:]}_{list(group)[-1][-3:]}"] = _query(group)
     paper = al.alphas("paper")
-    out["alphas_paper"] = _query({n: paper[n] for n in ("alpha028", "alpha071", "alpha077", "alpha088")})
+    differ = [n for n in names if n != "alpha084" and repr(paper[n]) != repr(signals[n])]
+    for k in range(0, len(differ), 4):
+        group = {n: paper[n] for n in differ[k : k + 4]}
+        out[f"alphas_paper_{differ[k][-3:]}_{list(group)[-1][-3:]}"] = _query(group)
     out["custom_composites"] = _query(composites())
     for name, group in ti.window_groups().items():
         out[name] = _query(group)

@@ -1,6 +1,7 @@
 """Sequential portfolios, model metrics, fusion, and streams against their batch forms."""
 
 import math
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def test_top_k_dropout(spark):
     df = spark.createDataFrame(rows, "strategy string, date string, ticker string, prediction double").withColumn("date", F.to_date("date"))
     w = sq.top_k_dropout(df, 3, 1).groupBy("strategy", "date").agg(F.count("*").alias("n"), F.sum("weight").alias("s")).collect()
     assert len(w) == 10 and all(r.n == 3 and abs(r.s - 1) < 1e-12 for r in w)
+    # the same as by steps over whole dates, with many more names than can be chosen
+    rng = random.Random(2)
+    rows = [("a", f"2024-01-{d:02d}", f"t{k:03d}", None if rng.random() < 0.1 else float(rng.randint(0, 60))) for d in range(1, 16) for k in range(80) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "strategy string, date string, ticker string, prediction double")
+    held, want = [], set()
+    for d in sorted({r[1] for r in rows}):
+        held = sq.dropout_step(held, [t for _, _, t, p in sorted((r for r in rows if r[1] == d and r[3] is not None), key=lambda r: (-r[3], r[2]))], 4, 2)
+        want |= {(d, t) for t in held}
+    got = sq.top_k_dropout(df.withColumn("date", F.to_date("date")), 4, 2).collect()
+    assert {(str(r.date), r.ticker) for r in got} == want
 
 
 def test_ndcg_and_fusion(spark):
