@@ -21,10 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import give_back, table, texts
 
 #: Code points per block of documents whose distinct words are encoded together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_500_000
 #: Pieces of text kept between blocks; beyond it, the table is emptied.
 CACHE_WORDS = 250_000
 #: Token pairs whose compatibility is remembered.
@@ -132,9 +132,11 @@ class WordBpe:
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Encodings of distinct words by one depth-first walk over their trie."""
         inner, final, compatible, known = self.inner.get, self.final.get, self.compatible, self.ok.get
-        # the path of a word: a character for each byte, and the end mark as part of the last step
-        word_of = {w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words if not w.isascii()}
-        paths = sorted([*word_of, *filter(str.isascii, words)])
+        # the path of a word: a character for each byte (printable ASCII stands for itself), and the end mark
+        # as part of the last step
+        plain = {w for w in words if w.isascii() and w.isprintable()}
+        word_of = {w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words - plain}
+        paths = sorted([*word_of, *plain])
         # of each node on the current path: its last token, where that begins, and where a token through the node can begin
         tokens, starts, firsts = [-1], [0], [0]
         begun, before, out = self.begun, "", {}
@@ -150,7 +152,7 @@ class WordBpe:
             first = firsts[-1]
             for d in range(common + 1, n + 1):
                 find = inner if d < n else final
-                while s[first:d] not in begun:
+                while first < d and s[first:d] not in begun:
                     first += 1
                 for at in range(first, d):
                     t = find(s[at:d])
@@ -254,7 +256,8 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_decode
                 cols = [batch.column("doc_id").slice(at, len(block)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += len(block)
-        bpe.forget()  # the worker may serve other stages
+        bpe.forget()
+        give_back()
 
     return texts(docs).mapInArrow(run, kinds)
 

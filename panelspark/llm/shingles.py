@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes that are hashed together; more only where a single word is longer.
 PIECE = 1 << 20
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = b" \t\n\r\x0b\x0c"
-SPACE = re.compile(rb"[ \t-\r]")
+#: A-Z lower-cased, all white space as spaces.
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + SPACES, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(SPACES))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,14 +68,14 @@ def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a block of texts, one text after the other, and the number of words
     of each. Words are lower-cased (A-Z) and end at a space or a control from 9 to 13."""
     sizes = np.array([len(t) + 1 for t in block], np.int64)
-    data = b" ".join([*block, b""]).translate(LOWER)
+    data = b" ".join([*block, b""]).translate(PLAIN)
     found, starts, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while low < len(data):
         high = low + PIECE
         if high < len(data):
-            cut = max(data.rfind(c, low, high) for c in (b" ", b"\n"))
-            if cut < 0:  # a word longer than a piece
-                cut = next((low + m.end() - 1 for m in [SPACE.search(data[low:])] if m), len(data) - 1)
+            cut = data.rfind(b" ", low, high)
+            if cut < 0:  # a word longer than a piece; the data end with a space
+                cut = data.find(b" ", high)
             high = cut + 1
         h, first = piece_hashes(np.frombuffer(data, np.uint8, min(high, len(data)) - low, low))
         found.append(h)
