@@ -31,8 +31,8 @@ SPAN = LENGTH - GRAM + 1
 V = 32
 #: Bytes of text in a block of documents, and of contexts in a block of suffixes.
 BLOCK_BYTES, SORT_BYTES = 1 << 20, 4 << 20
-#: Of more than so many equal contexts the earliest stands for all.
-EQUAL = 2
+#: Of more than so many equal contexts (same anchor, same 128-bit hash) the earliest stands for all.
+EQUAL = 1
 #: An anchor with more runs is split into anchors with WIDE starts each.
 RUNS, WIDE = 4096, 8
 
