@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import give_back, table, texts
 from .shingles import blocks, odd_numbers
 
 #: Places of a seed's words; items with fewer words than a shape needs are one seed of all their words.
@@ -246,6 +246,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for block in blocks(pa.Array.from_pandas(text, type=pa.string())):
                 out[[at + t for t, *_ in matches(items, *items.block(block))]] = True
                 at += len(block)
+            give_back()
             return pd.Series(out)
 
         return leaks(F.col("text").cast("string"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import give_back, stored, table, texts
 from .components import components
 from .shingles import blocks, shingle_sets
 
@@ -87,6 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_key", "registers"],
                 )
                 at += len(block)
+            give_back()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
 
@@ -100,6 +101,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for block in blocks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array([x.tobytes() for x in shingle_sets(block)], pa.binary())], names=["doc_id", "shingles"])
                 at += len(block)
+            give_back()
 
     return texts(docs).mapInArrow(run, "doc_id long, shingles binary")
 

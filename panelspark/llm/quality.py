@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import give_back, table, texts
 
 #: Bytes of UTF-8 in a passage; the last one of a text is shorter.
 PASSAGE_BYTES = 512
 #: The model is fitted on at most so many labelled documents, those with the smallest hash of doc_id.
 TRAIN_DOCS = 4000
 THRESHOLD = 0.3
-BLOCK_BYTES = 4_000_000
+#: Bytes of text whose features are computed together; a byte takes some 40 bytes of memory meanwhile.
+BLOCK_BYTES = 1_000_000
 
 #: Byte classes of the pair counts: lower, upper, digit, space, newline, stop, comma, other sign, high, other.
 PAIRS = 10
@@ -204,6 +205,7 @@ def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = THRESHO
         out = []
         for block in byte_blocks(pa.Array.from_pandas(text, type=pa.string())):
             out.append(model.scores(*passage_features(block)))
+        give_back()
         import pandas as pd
 
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
