@@ -11,9 +11,10 @@ from .minhash import op7_minhash
 from .passages import op6_passages
 from .pii import op4_pii
 from .quality import op5_quality
+from .sharding import op12_shards
 from .suffixes import op8_suffixes
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe, "op12_shards": op12_shards}
 
 #: Shingle sets compared by a self-join, and classes by their smallest reachable id.
 OP7 = r"""
@@ -34,4 +35,37 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS compo
 FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
 #: SQL twins; SQL can't express the other operators (see tests/llm).
-ORACLES = {"op7_minhash": OP7}
+#: CRC-32 of a list of bytes, by a table made from its polynomial.
+CRC = r"""crc_steps(i, k, v) AS (
+    SELECT i, 0, i::UBIGINT FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def crc(text: str) -> str:
+    """SQL of the CRC-32 of a text; crc_table must be in FROM."""
+    found = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {found}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+
+
+#: The jumps of each doc_id, for 8 and 9 shards, and slots in the order of the hash.
+OP12 = rf"""
+WITH RECURSIVE {CRC},
+rows AS MATERIALIZED (
+    SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {crc("coalesce(text, '')")} AS text_crc32, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS k
+    FROM documents, crc_table),
+jumps(doc_id, n, k, b, j) AS (
+    SELECT DISTINCT doc_id, n, k, -1::BIGINT, 0::BIGINT FROM rows, (VALUES (8), (9)) v(n)
+    UNION ALL
+    SELECT doc_id, n, g, j, floor((j + 1) * (2147483648::DOUBLE / ((g // 8589934592) + 1)::DOUBLE))::BIGINT
+    FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS g FROM jumps WHERE j < n)),
+places AS (SELECT doc_id, max(b) FILTER (n = 8) AS shard, max(b) FILTER (n = 9) AS grown_shard FROM jumps WHERE j >= n GROUP BY doc_id),
+parts AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // 10000 AS part, (k * 2862933555777941757 + 1) % 18446744073709551616 AS g FROM rows),
+hashed AS (
+    SELECT *, (((g - g % 4294967296 + xor((g % 4294967296)::BIGINT, text_crc32) + part % 1048576) * 2862933555777941757 + 1) % 18446744073709551616) // 4294967296 AS h
+    FROM parts)
+SELECT x.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY h, x.doc_id NULLS FIRST, text_crc32, size, part) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM hashed x JOIN places p ON x.doc_id IS NOT DISTINCT FROM p.doc_id"""
+
+ORACLES = {"op7_minhash": OP7, "op12_shards": OP12}
