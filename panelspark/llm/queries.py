@@ -13,8 +13,9 @@ from .pii import op4_pii
 from .quality import op5_quality
 from .sharding import op12_shards
 from .suffixes import op8_suffixes
+from .turns import op13_turns
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe, "op12_shards": op12_shards}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe, "op12_shards": op12_shards, "op13_turns": op13_turns}
 
 #: Shingle sets compared by a self-join, and classes by their smallest reachable id.
 OP7 = r"""
@@ -39,13 +40,13 @@ FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"
 CRC = r"""crc_steps(i, k, v) AS (
     SELECT i, 0, i::UBIGINT FROM range(256) r(i)
     UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
-crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc_t FROM crc_steps WHERE k = 8)"""
 
 
 def crc(text: str) -> str:
     """SQL of the CRC-32 of a text; crc_table must be in FROM."""
     found = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {found}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {found}), lambda a, x: xor(a >> 8, crc_t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
 
 
 #: The jumps of each doc_id, for 8 and 9 shards, and slots in the order of the hash.
@@ -68,4 +69,28 @@ SELECT x.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
     row_number() OVER (PARTITION BY shard ORDER BY h, x.doc_id NULLS FIRST, text_crc32, size, part) - 1 AS slot, grown_shard::INT AS grown_shard
 FROM hashed x JOIN places p ON x.doc_id IS NOT DISTINCT FROM p.doc_id"""
 
-ORACLES = {"op7_minhash": OP7, "op12_shards": OP12}
+#: Rebuilt conversations as lists, their prefixes as nodes, and sums over the nodes that start with a node.
+OP13 = rf"""
+WITH RECURSIVE {CRC},
+turns AS (
+    SELECT conv_id, turn, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS mark, strlen(coalesce(text, '')) AS bytes
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, list({{'m': mark, 'b': bytes}} ORDER BY turn NULLS FIRST, sha256(mark)) AS t FROM turns GROUP BY conv_id),
+lengths AS MATERIALIZED (SELECT c.conv_id, {crc("c.conv_id::VARCHAR")} % 9 AS h FROM own c, crc_table),
+rebuilt AS MATERIALIZED (
+    SELECT o.conv_id, list_concat(coalesce(f.t, [])[1:h], o.t[h + 1:]) AS t
+    FROM own o JOIN lengths USING (conv_id) LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 5),
+members AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt),
+keyed AS MATERIALIZED (SELECT conv_id, depth, len(t) AS n, list_transform(t[1:depth], lambda x: sha256(x.m)) AS k, list_transform(t[1:depth - 1], lambda x: sha256(x.m)) AS p, CASE WHEN depth > 0 THEN t[depth].b ELSE 0 END AS b FROM members),
+nodes AS MATERIALIZED (
+    SELECT k, depth, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM keyed GROUP BY k, depth),
+children AS (SELECT p AS k, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (SELECT x.*, coalesce(c.n, 0) AS n_children FROM nodes x LEFT JOIN children c USING (k, depth)),
+above AS (SELECT k[1:d] AS k, d AS depth, saved, (n_children = 0)::INT AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes)),
+subtrees AS (SELECT k, depth, sum(leaf) AS n_leaves, sum(saved) AS saved FROM above GROUP BY ALL)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN subtrees s USING (k, depth) LEFT JOIN nodes u ON u.k = x.p AND u.depth = x.depth - 1"""
+
+ORACLES = {"op7_minhash": OP7, "op12_shards": OP12, "op13_turns": OP13}
