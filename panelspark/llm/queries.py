@@ -11,11 +11,12 @@ from .minhash import op7_minhash
 from .passages import op6_passages
 from .pii import op4_pii
 from .quality import op5_quality
+from .ranked import op11_ranked
 from .sharding import op12_shards
 from .suffixes import op8_suffixes
 from .turns import op13_turns
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe, "op12_shards": op12_shards, "op13_turns": op13_turns}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontaminate": op2_decontaminate, "op3_html": op3_html, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_passages": op6_passages, "op7_minhash": op7_minhash, "op8_suffixes": op8_suffixes, "op9_chat": op9_chat, "op10_bpe": op10_bpe, "op11_ranked": op11_ranked, "op12_shards": op12_shards, "op13_turns": op13_turns}
 
 #: Shingle sets compared by a self-join, and classes by their smallest reachable id.
 OP7 = r"""
@@ -49,6 +50,23 @@ def crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {found}), lambda a, x: xor(a >> 8, crc_t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
 
 
+#: Scores of all items and documents by a join on their terms.
+OP11 = r"""
+WITH own AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+known AS MATERIALIZED (SELECT * FROM own WHERE len(w) > 0),
+sums AS MATERIALIZED (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM known),
+counts AS MATERIALIZED (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM known) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM counts, sums GROUP BY t, n_docs),
+asked AS (
+    SELECT item_id, item, t, count(*) AS q
+    FROM (SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark)
+    GROUP BY ALL),
+scores AS (
+    SELECT item_id, item, doc_id, row, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN counts USING (t) JOIN weights USING (t) JOIN known USING (row), sums GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 #: The jumps of each doc_id, for 8 and 9 shards, and slots in the order of the hash.
 OP12 = rf"""
 WITH RECURSIVE {CRC},
@@ -93,4 +111,4 @@ subtrees AS (SELECT k, depth, sum(leaf) AS n_leaves, sum(saved) AS saved FROM ab
 SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, x.ends_sha256
 FROM full_nodes x JOIN subtrees s USING (k, depth) LEFT JOIN nodes u ON u.k = x.p AND u.depth = x.depth - 1"""
 
-ORACLES = {"op7_minhash": OP7, "op12_shards": OP12, "op13_turns": OP13}
+ORACLES = {"op7_minhash": OP7, "op11_ranked": OP11, "op12_shards": OP12, "op13_turns": OP13}
