@@ -219,6 +219,12 @@ def searcher(items: Items, least: list[int], best: int) -> Callable[[Iterator[pa
     return run
 
 
+def ranks(found: DataFrame, best: int) -> DataFrame:
+    """The `best` rows of each item with their rank; tasks keep no more than that of an item before the shuffle."""
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
+    return found.where("item >= 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+
+
 def search(docs: DataFrame, items: DataFrame, best: int = BEST, stats: list[tuple[int, int]] | None = None) -> DataFrame:
     """item_id, rank, doc_id, score: the `best` documents of each item with a score above 0, equal scores by
     ascending doc_id.
@@ -238,18 +244,17 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, stats: list[tupl
         df = {r.t: r.n for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
         index = stored(vectors(found, n_docs, n_terms, df), "vectors")
         kinds = "item int, doc_id long, score long"
-        # the longest vectors give each item's first bound; they are searched again with the others
-        head = index.orderBy(F.desc("length")).limit(HEAD).mapInArrow(searcher(block, [1] * len(block.ids), best), kinds)
+        # about HEAD of the longest vectors give each item's first bound; they are searched again with the others
+        cut = index.agg(F.percentile_approx("length", 1 - min(1.0, HEAD / max(1, n_docs)))).first()[0]
+        head = index.where(F.col("length") >= F.lit(cut)).mapInArrow(searcher(block, [1] * len(block.ids), best), kinds)
         least = [1] * len(block.ids)
-        for r in head.where("item >= 0").groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect():
+        for r in ranks(head, best).groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect():
             least[r["item"]] = r.s if r.n >= best else 1
         rows = stored(index.mapInArrow(searcher(block, least, best), kinds), "found")
         if stats is not None:
             stats.append(tuple(rows.where("item < 0").agg(F.sum("doc_id"), F.sum("score")).first()))
-        order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-        ranked = rows.where("item >= 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
         ids = spark.createDataFrame(list(enumerate(block.ids)), "item int, item_id long")
-        own = ranked.join(F.broadcast(ids), "item").select("item_id", "rank", "doc_id", "score")
+        own = ranks(rows, best).join(F.broadcast(ids), "item").select("item_id", "rank", "doc_id", "score")
         out = own if out is None else out.unionAll(own)
     return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if out is None else out
 
