@@ -134,10 +134,10 @@ def long_short(long: DataFrame, labels: DataFrame, groups: int = 5, least: int =
 
 
 def long_short_stats(daily: DataFrame, days: int = 252) -> DataFrame:
-    """Per factor: annual mean return, Sharpe ratio, total return, largest drawdown of the difference. A
-    return of -1 or less ends the curve (its logarithm is missing)."""
+    """Per factor: annual mean return, Sharpe ratio, total return, largest drawdown of the difference.
+    After a return of -1 the curve stays 0."""
     w = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = daily.withColumn("nav", F.exp(F.sum(F.log1p("ls_return")).over(w)))
+    curve = daily.withColumn("nav", F.product(1 + F.col("ls_return")).over(w))
     curve = curve.withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
     return curve.groupBy("factor").agg((F.avg("ls_return") * days).alias("annual_return"), F.try_divide(F.avg("ls_return"), F.stddev_samp("ls_return")).alias("_s"), F.min("dd").alias("max_drawdown"), F.max_by("nav", "date").alias("_n"), F.count("*").alias("days")).select("factor", "annual_return", (F.col("_s") * math.sqrt(days)).alias("sharpe"), (F.col("_n") - 1).alias("total_return"), "max_drawdown", "days")
 

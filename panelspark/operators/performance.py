@@ -60,9 +60,10 @@ def ordered(keys: list[str] | None = None):
 
 
 def curve(returns: DataFrame, value: str, keys: list[str] | None = None, start: float = 1.0) -> DataFrame:
-    """returns with nav and drawdown (against the highest nav so far, the start included)."""
+    """returns with nav and drawdown (against the highest nav so far, the start included). Growth is multiplied,
+    so a total loss leaves 0 and a loss of more than all (on credit) a nav below 0."""
     w = ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
-    r = returns.withColumn("nav", F.lit(start) * F.exp(F.sum(F.log1p(F.col(value))).over(w)))
+    r = returns.withColumn("nav", F.lit(start) * F.product(1 + F.col(value)).over(w))
     return r.withColumn("drawdown", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(start)) - 1)
 
 
@@ -93,7 +94,7 @@ def alpha_beta(returns: DataFrame, value: str, benchmark: str, window: int = 60)
 def monthly(returns: DataFrame, value: str, *more: str) -> DataFrame:
     """month (its last day) and the compounded return of each value column."""
     m = F.last_day("date").alias("month")
-    return returns.groupBy(m).agg(*((F.exp(F.sum(F.log1p(c))) - 1).alias(c) for c in (value, *more)), F.count("*").alias("days"))
+    return returns.groupBy(m).agg(*((F.product(1 + F.col(c)) - 1).alias(c) for c in (value, *more)), F.count("*").alias("days"))
 
 
 def histogram(returns: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -12,6 +12,7 @@ from panelspark.operators import diagnostics as dg
 from panelspark.operators import performance as pf
 from panelspark.operators import risk as rk
 from panelspark.operators import selection as sl
+from panelspark.sources.stores import Store
 
 #: User factors: name to an expression tree over the panel, as those of functions.expr.
 FACTORS: dict[str, object] = {}
@@ -105,6 +106,20 @@ def refresh_factors(panel: DataFrame, store: DataFrame, trees: dict[str, object]
     return evaluate(rows, trees).join(F.broadcast(missing), "date", "left_semi")
 
 
+def update_stores(panel: DataFrame, trees: dict[str, object], factors: Store, ics: Store, look_back: int, start: str | None = None, end: str | None = None, force: bool = False) -> None:
+    """Fills the factor store for the range of dates and then the store of rank ICs (date, factor, ic, n).
+
+    All missing dates (with force all dates of the range) are computed in one job and written into their own folders;
+    known dates' files aren't touched. ICs are computed for every date of the range, known ones too, as a date's
+    next return comes after the date. A second run changes no factor file and gives the same ICs.
+    """
+    known = factors.dates() if factors.exists() else panel.select("date").limit(0)
+    factors.replace(refresh_factors(panel, known, trees, look_back, start, end, force))
+    if factors.exists():
+        long = cl.to_long(factors.read(start, end), list(trees))
+        ics.replace(dg.rank_ic(long, dg.forward_return(panel)))
+
+
 def daily_chain(prices: DataFrame, new: DataFrame, store: DataFrame, trees: dict[str, object], look_back: int, saved: DataFrame, score, k: int, skip: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The day's tables by name: prices, factors (the new rows), predictions and weights of the newest date.
     Steps named in skip are left out, and so is what needs them."""

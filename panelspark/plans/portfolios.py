@@ -19,7 +19,7 @@ NET = "net AS MATERIALIZED (SELECT date, gross_return, turnover, coalesce(turnov
 BENCH = "bench AS MATERIALIZED (SELECT date, avg(p / lag_p - 1) AS benchmark_return FROM (SELECT date, ticker, p, lag(p) OVER (PARTITION BY ticker ORDER BY date) AS lag_p FROM (SELECT date, ticker, coalesce(last_value(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p FROM panel)) GROUP BY date)"
 ALL = f"{W5}, {RET}, {TURN}, {NET}"
 PAST = "OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)"
-NAV = f"nav AS MATERIALIZED (SELECT *, nav / greatest(max(nav) {PAST}, 1) - 1 AS drawdown FROM (SELECT *, exp(sum(ln(1 + net_return)) {PAST}) AS nav FROM net))"
+NAV = f"nav AS MATERIALIZED (SELECT *, nav / greatest(max(nav) {PAST}, 1) - 1 AS drawdown FROM (SELECT *, product(1 + net_return) {PAST} AS nav FROM net))"
 
 
 def weights(s, d):
@@ -69,10 +69,18 @@ def entries() -> dict[str, tuple]:
     q["benchmark_mean_of_returns"] = (lambda s, d: rd(pf.benchmark_returns(panel(s, d))), f"WITH {PANEL}, {BENCH} SELECT date, {r('benchmark_return')} FROM bench")
     q["benchmark_return_of_mean"] = (lambda s, d: rd(pf.benchmark_returns(panel(s, d), "return_of_mean")), f"WITH {PANEL}, m AS (SELECT date, avg(adj_close) AS m FROM panel GROUP BY date) SELECT date, {r('m / lag(m) OVER (ORDER BY date) - 1', 'benchmark_return')} FROM m")
     q["excess_returns"] = (lambda s, d: rd(with_benchmark(s, d).select("date", (F.col("net_return") - F.coalesce("benchmark_return", F.lit(0.0))).alias("excess_return"))), f"WITH {ALL}, {BENCH} SELECT date, {r('net_return - coalesce(benchmark_return, 0)', 'excess_return')} FROM net JOIN bench USING (date)")
-    q["monthly_returns"] = (lambda s, d: rd(pf.monthly(with_benchmark(s, d), "net_return", "benchmark_return")), f"WITH {ALL}, {BENCH} SELECT last_day(date) AS month, {r('exp(sum(ln(1 + net_return))) - 1', 'net_return')}, {r('exp(sum(ln(1 + benchmark_return))) - 1', 'benchmark_return')}, count(*) AS days FROM net JOIN bench USING (date) GROUP BY 1")
+    lost = lambda s, d: net(s, d).select("date", F.explode(F.array(F.lit(-1.0), F.lit(-1.5))).alias("loss")).join(net(s, d), "date").withColumn("value", F.when((F.month("date") == 6) & (F.year("date") % 2 == 0), F.col("loss")).otherwise(F.col("net_return")))
+    lost_sql = f"{ALL}, lost AS MATERIALIZED (SELECT date, loss, CASE WHEN month(date) = 6 AND year(date) % 2 = 0 THEN loss ELSE net_return END AS value FROM net, (VALUES (-1.0::DOUBLE), (-1.5::DOUBLE)) v(loss))"
+    along = "OVER (PARTITION BY loss ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    q["curve_total_loss"] = (
+        lambda s, d: rd(pf.curve(lost(s, d), "value", ["loss"]).select("date", "loss", "nav", "drawdown")),
+        f"WITH {lost_sql}, n AS (SELECT date, loss, product(1 + value) {along} AS nav FROM lost) SELECT date, loss, {r('nav')}, {r(f'nav / greatest(max(nav) {along}, 1) - 1', 'drawdown')} FROM n",
+    )
+    q["monthly_total_loss"] = (lambda s, d: rd(pf.monthly(lost(s, d).where("loss = -1.5"), "value")), f"WITH {lost_sql} SELECT last_day(date) AS month, {r('product(1 + value) - 1', 'value')}, count(*) AS days FROM lost WHERE loss = -1.5 GROUP BY 1")
+    q["monthly_returns"] = (lambda s, d: rd(pf.monthly(with_benchmark(s, d), "net_return", "benchmark_return")), f"WITH {ALL}, {BENCH} SELECT last_day(date) AS month, {r('product(1 + net_return) - 1', 'net_return')}, {r('product(1 + benchmark_return) - 1', 'benchmark_return')}, count(*) AS days FROM net JOIN bench USING (date) GROUP BY 1")
     q["best_worst_month"] = (
         lambda s, d: rd(pf.monthly(net(s, d), "net_return").agg(F.max_by("month", "net_return").alias("best_month"), F.max("net_return").alias("best"), F.min_by("month", "net_return").alias("worst_month"), F.min("net_return").alias("worst"))),
-        f"WITH {ALL}, m AS (SELECT last_day(date) AS month, exp(sum(ln(1 + net_return))) - 1 AS x FROM net GROUP BY 1) SELECT arg_max(month, x) AS best_month, {r('max(x)', 'best')}, arg_min(month, x) AS worst_month, {r('min(x)', 'worst')} FROM m",
+        f"WITH {ALL}, m AS (SELECT last_day(date) AS month, product(1 + net_return) - 1 AS x FROM net GROUP BY 1) SELECT arg_max(month, x) AS best_month, {r('max(x)', 'best')}, arg_min(month, x) AS worst_month, {r('min(x)', 'worst')} FROM m",
     )
     q["return_histogram"] = (
         lambda s, d: rd(pf.histogram(rd(net(s, d), "net_return", digits=8), "net_return", 50), digits=5),

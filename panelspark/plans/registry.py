@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import book, extras, factors, portfolios, research
+from . import book, extras, factors, portfolios, research, studies
 
 
 def _entries() -> dict[str, tuple]:
-    return factors.entries() | research.entries() | portfolios.entries() | book.entries() | extras.entries()
+    return factors.entries() | research.entries() | portfolios.entries() | book.entries() | extras.entries() | studies.entries()
 
 
 def queries() -> dict:

@@ -93,7 +93,7 @@ def entries() -> dict[str, tuple]:
     w = "OVER (PARTITION BY factor ORDER BY date ROWS UNBOUNDED PRECEDING)"
     q["long_short_stats"] = (
         lambda s, d: rd(dg.long_short_stats(dg.long_short(long(s, d), labels(s, d)).withColumn("ls_return", F.col("ls_return") / 1000)), digits=5),
-        f"WITH {IC}, {LS}, small AS (SELECT date, factor, ls_return / 1000 AS ls_return FROM ls), nav AS (SELECT *, exp(sum(ln(1 + ls_return)) {w}) AS nav FROM small), dd AS (SELECT *, nav / greatest(max(nav) {w}, 1) - 1 AS dd FROM nav) SELECT factor, {r('avg(ls_return) * 252', 'annual_return', 5)}, {r('avg(ls_return) / nullif(stddev_samp(ls_return), 0) * sqrt(252)', 'sharpe', 5)}, {r('arg_max(nav, date) - 1', 'total_return', 5)}, {r('min(dd)', 'max_drawdown', 5)}, count(*) AS days FROM dd GROUP BY factor",
+        f"WITH {IC}, {LS}, small AS (SELECT date, factor, ls_return / 1000 AS ls_return FROM ls), nav AS (SELECT *, product(1 + ls_return) {w} AS nav FROM small), dd AS (SELECT *, nav / greatest(max(nav) {w}, 1) - 1 AS dd FROM nav) SELECT factor, {r('avg(ls_return) * 252', 'annual_return', 5)}, {r('avg(ls_return) / nullif(stddev_samp(ls_return), 0) * sqrt(252)', 'sharpe', 5)}, {r('arg_max(nav, date) - 1', 'total_return', 5)}, {r('min(dd)', 'max_drawdown', 5)}, count(*) AS days FROM dd GROUP BY factor",
     )
     pairs = " UNION ALL ".join(f"SELECT '{a}' AS factor_a, '{b}' AS factor_b, {r('1.0' if a == b else f'coalesce(covar_samp({a}, {b}) / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0), 0)', 'correlation')} FROM wide" + (" LIMIT 1" if False else "") for a in NAMES for b in NAMES)
     pairs = pairs.replace(f"{r('1.0', 'correlation')} FROM wide", "1.0::DOUBLE AS correlation")
