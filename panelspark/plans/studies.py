@@ -10,12 +10,15 @@ from panelspark.functions.expr import to_sql
 from panelspark.operators import diagnostics as dg
 from panelspark.operators import latent
 from panelspark.operators import modelstore as ms
+from panelspark.operators import rolling as ro
+from panelspark.operators import styles as sy
 from panelspark.sources import stores
 from panelspark.sources.panel import bars, bars_sql, grid_sql
 
 from . import jobs
-from .base import FACTORS, LABELS, NAMES, PANEL, WIDE, labels, panel, r, rd, rs, wide
-from .research import CHUNKS
+from .base import FACTORS, LABELS, LONG, NAMES, PANEL, WIDE, labels, long, panel, r, rd, rs, wide
+from .extras import RETS, predictions, returns
+from .research import CHUNKS, QUANTILE, G
 
 MODEL = ["mom20", "rev5", "vol20"]
 
@@ -73,6 +76,40 @@ def window_over_buckets(s, d):
     return s.sql(f"SELECT date, ticker, avg(close) OVER w AS mean, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM {name} WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)")
 
 
+def months(s, d):
+    """The last date of each month."""
+    return returns(s, d).groupBy(F.last_day("date")).agg(F.max("date").alias("date")).select("date")
+
+
+WINDOWS = f"""{RETS}, cal AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM rets)),
+ x AS MATERIALIZED (SELECT i, ticker, ret FROM rets JOIN cal USING (date)), asked AS MATERIALIZED (SELECT max(date) AS date, max(i) AS i FROM cal GROUP BY last_day(date))"""
+
+STYLE_BUCKETS = {"Momentum": ["mom20", "rev5"], "Volatility": ["vol20", "range1"], "Liquidity": ["liq20"]}
+
+
+def buckets(s):
+    return s.createDataFrame([(f, b) for b, fs in STYLE_BUCKETS.items() for f in fs], "factor string, bucket string")
+
+
+def styles(s, d, **how):
+    return sy.chain(long(s, d), None, "1995-06-01", buckets(s), list(STYLE_BUCKETS), **how)
+
+
+def style_sql(keep: bool) -> str:
+    """The chain in closed form: components of two features, and the second (third) style less what the first ones explain."""
+    pair = lambda b, x, y: f"""{b}m AS (SELECT avg({x}) AS mx, avg({y}) AS my, var_pop({x}) AS a, covar_pop({x}, {y}) AS b, var_pop({y}) AS c FROM p, ref WHERE date = ref.day AND {x} IS NOT NULL AND {y} IS NOT NULL),
+ {b}e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l FROM {b}m),
+ {b}v AS (SELECT *, CASE WHEN abs(v1) >= abs(v2) * (1 - 1e-9) THEN sign(v1) ELSE sign(v2) END / sqrt(v1 * v1 + v2 * v2) AS k, l / (a + c) AS share FROM (SELECT *, CASE WHEN a >= c THEN l - c ELSE b END AS v1, CASE WHEN a >= c THEN b ELSE l - a END AS v2 FROM {b}e)),
+ {b} AS (SELECT date, ticker, (v1 * ({x} - mx) + v2 * ({y} - my)) * k AS s, CASE WHEN share >= 0.5 THEN 'component' ELSE 'under_share' END AS path FROM p, {b}v WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
+    last = f""" UNION ALL SELECT date, ticker, 'Liquidity' AS style, 2 AS ord, {r('w / sqrt(sum(w * w) OVER (PARTITION BY date))', 'score')}, 'single' AS path FROM (SELECT *, z - sum(z * u) OVER d / sum(u * u) OVER d * u - sum(z * v) OVER d / sum(v * v) OVER d * v AS w FROM o WINDOW d AS (PARTITION BY date)) UNION ALL SELECT date, ticker, 'Liquidity', 2, {r('liq20 / sqrt(sum(liq20 * liq20) OVER (PARTITION BY date))', 'score')}, 'single' FROM p WHERE liq20 IS NOT NULL AND date NOT IN (SELECT date FROM o)""" if keep else ""
+    return f"""WITH {PANEL}, {WIDE}, {LONG}, v AS (SELECT date, ticker, factor, CASE WHEN stddev_samp(value) OVER g >= 1e-8 THEN value END AS value FROM long {G}),
+ c AS (SELECT date, ticker, factor, {QUANTILE.format(a=0.025, b=0.975)} AS value FROM v {G}), n AS (SELECT date, ticker, factor, CASE WHEN value IS NOT NULL THEN CASE WHEN stddev_samp(value) OVER g >= 1e-8 THEN (value - avg(value) OVER g) / stddev_samp(value) OVER g ELSE 0 END END AS value FROM c {G}),
+ p AS MATERIALIZED (SELECT date, ticker, {", ".join(f"max(value) FILTER (factor = '{c}') AS {c}" for c in NAMES)} FROM n GROUP BY 1, 2), ref AS (SELECT max(date) AS day FROM p WHERE date <= DATE '1995-06-01'),
+ {pair('mo', 'mom20', 'rev5')}, {pair('vo', 'range1', 'vol20')},
+ o AS MATERIALIZED (SELECT *, y - sum(x * y) OVER d / sum(x * x) OVER d * x AS v, x AS u FROM (SELECT mo.date, mo.ticker, mo.s AS x, vo.s AS y, mo.path AS px, vo.path AS py{', liq20 AS z' if keep else ''} FROM mo JOIN vo ON vo.date = mo.date AND vo.ticker = mo.ticker{' JOIN p ON p.date = mo.date AND p.ticker = mo.ticker WHERE liq20 IS NOT NULL' if keep else ''}) WINDOW d AS (PARTITION BY date))
+ SELECT date, ticker, 'Momentum' AS style, 0 AS ord, {r('u / sqrt(sum(u * u) OVER (PARTITION BY date))', 'score')}, px AS path FROM o UNION ALL SELECT date, ticker, 'Volatility', 1, {r('v / sqrt(sum(v * v) OVER (PARTITION BY date))', 'score')}, py FROM o{last}"""
+
+
 def entries() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     # factor analysis
@@ -111,4 +148,19 @@ def entries() -> dict[str, tuple]:
         lambda s, d: rd(window_over_buckets(s, d)),
         f"SELECT date, ticker, {r('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)', 'mean')}, {r('lag(close) OVER (PARTITION BY ticker ORDER BY date)', 'before')} FROM ({bars_sql()})",
     )
+    # moving windows
+    q["rolling_covariance"] = (
+        lambda s, d: rd(ro.rolling_covariance(returns(s, d), months(s, d), 60, 2, size=8)),
+        f"WITH {WINDOWS} SELECT e.date, a.ticker AS ticker_a, b.ticker AS ticker_b, {r('covar_samp(a.ret, b.ret)', 'covariance')} FROM asked e JOIN x a ON a.i BETWEEN e.i - 59 AND e.i JOIN x b ON b.i = a.i GROUP BY 1, 2, 3 HAVING count(*) >= 2",
+    )
+    scored = lambda s, d: predictions(s, d).join(months(s, d), "date", "left_semi")
+    q["weights_by_date"] = (
+        lambda s, d: rd(ro.weights_by_date(scored(s, d), returns(s, d))),
+        f"WITH {WINDOWS}, {PANEL}, {WIDE}, p AS (SELECT date, i, ticker FROM wide JOIN asked USING (date) WHERE mom20 IS NOT NULL), v AS (SELECT p.date, p.ticker, 1 / nullif(stddev_samp(ret), 0) AS w FROM p JOIN x ON x.ticker = p.ticker AND x.i BETWEEN p.i - 59 AND p.i WHERE p.i >= 29 GROUP BY 1, 2), t AS (SELECT date, ticker, w, sum(w) OVER d AS t, count(*) OVER d AS k FROM p LEFT JOIN v USING (date, ticker) WINDOW d AS (PARTITION BY date)) SELECT date, ticker, {r('CASE WHEN t > 0 THEN coalesce(w, 0) / t ELSE 1 / k END', 'weight')} FROM t",
+    )
+    q["weights_by_date_gmv"] = (lambda s, d: ro.weights_by_date(scored(s, d), returns(s, d), "gmv", alpha=1e-4), None)
+    q["weights_by_date_rp"] = (lambda s, d: ro.weights_by_date(scored(s, d), returns(s, d), "rp", lam=0.94), None)
+    # the style chain
+    q["style_chain"] = (lambda s, d: rd(styles(s, d)), style_sql(False))
+    q["style_chain_singletons"] = (lambda s, d: rd(styles(s, d, keep_singletons=True)), style_sql(True))
     return q
