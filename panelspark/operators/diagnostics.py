@@ -19,6 +19,22 @@ def forward_return(panel: DataFrame, horizon: int = 1, delay: int = 0, price: st
     return panel.select("date", "ticker", (F.try_divide(F.lead(price, delay + horizon).over(by_ticker()), start) - 1).alias("label"))
 
 
+def label_series(panel: DataFrame, horizon: int = 1, shift: int = 0, price: str = "adj_close") -> DataFrame:
+    """date, ticker, label: the return over `horizon` rows that begins `shift` rows later: the forward return, moved back
+    per ticker. (forward_return with a delay is the same from prices; this also moves labels of other kinds.)"""
+    own = forward_return(panel, horizon, 0, price)
+    return own if not shift else own.select("date", "ticker", F.lead("label", shift).over(by_ticker()).alias("label"))
+
+
+def rolling_rank_ic(predictions: DataFrame, labels: DataFrame, window: int = 60, least: int = 20) -> DataFrame:
+    """date, rank_ic, rank_ic_roll of out-of-fold predictions (date, ticker, prediction): the day's rank IC and its mean over the
+    last `window` days that have one, from `least` of them on."""
+    long = predictions.select("date", "ticker", F.lit("oof").alias("factor"), F.col("prediction").alias("value"))
+    w = Window.orderBy("date").rowsBetween(-(window - 1), 0)  # one row a date
+    ics = rank_ic(long, labels)
+    return ics.select("date", F.col("ic").alias("rank_ic"), F.when(F.count("ic").over(w) >= least, F.avg("ic").over(w)).alias("rank_ic_roll"))
+
+
 def quantile_label(df: DataFrame, q: int, value: str = "label") -> DataFrame:
     """bin 0..q-1 of the value on its date: quantile bins of first-come ranks, fewer where a date has few
     rows, null where it has fewer than two."""

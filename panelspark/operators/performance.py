@@ -118,6 +118,14 @@ def benchmark_returns(panel: DataFrame, kind: str = "mean_of_returns", price: st
     return m.select("date", (F.try_divide("_m", F.lag("_m").over(ordered())) - 1).alias("benchmark_return"))
 
 
+def aligned_series(returns: DataFrame, series: DataFrame, value: str) -> DataFrame:
+    """returns with `value` of the newest row of series (date, value) up to each date, 0 before the first. Rows of
+    series between the dates of returns count for the next date."""
+    own = returns.withColumn("_own", F.lit(True)).unionByName(series.select("date", F.col(value).alias("_x")), allowMissingColumns=True)
+    w = Window.orderBy("date", F.col("_own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # one row a date of each
+    return own.withColumn(value, F.coalesce(F.last("_x", ignorenulls=True).over(w), F.lit(0.0))).where("_own").drop("_own", "_x")
+
+
 def resolve_return(columns: list[str]) -> Column | None:
     """The first known return column of a table."""
     known = [c for c in ("net_return", "strategy_return", "portfolio_return", "return", "returns", "gross_return") if c in columns]

@@ -174,6 +174,21 @@ def ridged(covariance: np.ndarray, most: float = 1e12) -> np.ndarray:
     return covariance + np.eye(n) * 1e-6 * np.trace(covariance) / n if n and np.linalg.cond(covariance) > most else covariance
 
 
+def ridged_covariance(covariance: DataFrame) -> DataFrame:
+    """covariance (date, style_a, style_b, covariance) with each date's matrix ridged(), and whether it was: a matrix of
+    few dates has no inverse. A date's task holds one matrix of the styles."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        m = p.pivot(index="style_a", columns="style_b", values="covariance").astype(float)
+        if m.isna().any(axis=None):  # too few dates for one of its entries
+            return p.assign(ridged=False)[["date", "style_a", "style_b", "covariance", "ridged"]]
+        new = ridged(m.to_numpy())
+        long = pd.DataFrame(new, m.index, m.columns).stack().rename("covariance").reset_index()
+        return long.assign(date=p["date"].iloc[0], ridged=bool((new != m.to_numpy()).any()))[["date", "style_a", "style_b", "covariance", "ridged"]]
+
+    return covariance.groupBy("date").applyInPandas(one, "date date, style_a string, style_b string, covariance double, ridged boolean")
+
+
 def fixed_structure(wide: DataFrame, buckets: dict[str, list[str]], reference: str, days: int = 126) -> DataFrame:
     """bucket, feature, mean, loading: the first principal component of each bucket over the complete rows of
     the `days` dates up to the reference date. Sums of products leave the tasks, so what is solved is one

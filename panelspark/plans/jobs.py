@@ -146,7 +146,7 @@ def risk_table(wide: DataFrame, labels: DataFrame, weights: DataFrame, styles: l
     returns = rk.factor_returns(wide, labels, styles)
     scores = cl.to_long(wide, styles).select("date", "ticker", F.col("factor").alias("bucket"), F.col("value").alias("score"))
     exposure = rk.portfolio_exposure(scores, weights)
-    parts = rk.decomposition(exposure, rk.previous_covariance(returns), rk.specific_risk(rk.residuals(wide, labels, returns, styles), weights))
+    parts = rk.decomposition(exposure, rk.ridged_covariance(rk.previous_covariance(returns)).drop("ridged"), rk.specific_risk(rk.residuals(wide, labels, returns, styles), weights))
     return sl.last_dates(parts, last).join(exposure, ["date", "style"], "left").select("date", "style", "exposure", "contribution", "total_variance")
 
 

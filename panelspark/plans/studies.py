@@ -10,15 +10,20 @@ from panelspark.functions.expr import to_sql
 from panelspark.operators import diagnostics as dg
 from panelspark.operators import latent
 from panelspark.operators import modelstore as ms
+from panelspark.operators import performance as pf
+from panelspark.operators import risk as rk
 from panelspark.operators import rolling as ro
 from panelspark.operators import styles as sy
 from panelspark.sources import stores
 from panelspark.sources.panel import bars, bars_sql, grid_sql
 
+from . import buildjob as bj
 from . import jobs
 from .base import FACTORS, LABELS, LONG, NAMES, PANEL, WIDE, labels, long, panel, r, rd, rs, wide
-from .extras import RETS, predictions, returns
-from .research import CHUNKS, QUANTILE, G
+from .extras import FR, OLS, PREV, RETS, STYLES, predictions, returns
+from .base import RANKS, ic_sql
+from .portfolios import ALL, BENCH, net
+from .research import CHUNKS, G, QUANTILE
 
 MODEL = ["mom20", "rev5", "vol20"]
 
@@ -76,6 +81,22 @@ def window_over_buckets(s, d):
     return s.sql(f"SELECT date, ticker, avg(close) OVER w AS mean, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM {name} WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)")
 
 
+def built(s, d, **how):
+    store = stores.Store(s, stores.scratch(s))
+    job = bj.build_and_store(panel(s, d), FACTORS, store, **how)
+    return bj.cl.to_long(store.read(), job.factors)
+
+
+def enhanced(s, d):
+    return bj.enhance(long(s, d), labels(s, d), bj.Enhancement((0.004, 0.0, 0.0), None, "ic_weighted"))
+
+
+MAD = f"""mm AS (SELECT *, median(value) OVER g AS m FROM long {G}), md AS (SELECT *, median(abs(value - m)) OVER g AS dev FROM mm {G}),
+ mad AS MATERIALIZED (SELECT date, ticker, factor, CASE WHEN value IS NOT NULL AND dev > 0 THEN least(greatest(value, m - 3 * dev), m + 3 * dev) ELSE value END AS value FROM md)"""
+ENHANCED = f"""{PANEL}, {WIDE}, {LONG}, {LABELS}, {RANKS}, {ic_sql(least=2)}, stats AS MATERIALIZED (SELECT factor, avg(ic) AS ic_mean, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS win_rate FROM ics GROUP BY factor),
+ kept AS MATERIALIZED (SELECT factor FROM stats WHERE abs(ic_mean) >= 0.004), w AS MATERIALIZED (SELECT factor, abs(ic_mean) / sum(abs(ic_mean)) OVER () AS weight FROM stats SEMI JOIN kept USING (factor))"""
+
+
 def months(s, d):
     """The last date of each month."""
     return returns(s, d).groupBy(F.last_day("date")).agg(F.max("date").alias("date")).select("date")
@@ -163,4 +184,33 @@ def entries() -> dict[str, tuple]:
     # the style chain
     q["style_chain"] = (lambda s, d: rd(styles(s, d)), style_sql(False))
     q["style_chain_singletons"] = (lambda s, d: rd(styles(s, d, keep_singletons=True)), style_sql(True))
+    # the build job
+    q["factor_build_stable"] = (
+        lambda s, d: rd(built(s, d, process="mad", stability={"window": 20, "threshold": 0.5, "min_coverage": 0.25})),
+        f"WITH {PANEL}, wide AS MATERIALIZED ({to_sql(grid_sql(), FACTORS, 12)}), {LONG}, {MAD}, c AS (SELECT factor, value, CASE WHEN count(value) OVER w >= 10 THEN stddev_samp(value) OVER w END AS s FROM mad WINDOW w AS (PARTITION BY factor, ticker ORDER BY date ROWS 19 PRECEDING)), k AS (SELECT factor FROM c GROUP BY factor HAVING median(s) <= 0.5 AND count(s) / count(*) >= 0.25) SELECT date, ticker, factor, {r('value')} FROM mad SEMI JOIN k USING (factor)",
+    )
+    q["factor_build_whole"] = (lambda s, d: built(s, d, process="standard", orthogonal=True, stability={"window": 20}, enhancement=bj.Enhancement((0.0, 0.0, 0.0), 0.9, "icir_weighted")), None)
+    q["enhanced_factors"] = (
+        lambda s, d: rd(enhanced(s, d)[0]),
+        f"WITH {ENHANCED} SELECT date, ticker, factor, {r('value')} FROM long SEMI JOIN kept USING (factor) UNION ALL SELECT date, ticker, 'COMBINED', {r('CASE WHEN count(value) = any_value(n) THEN sum(value * weight) END', 'value')} FROM long JOIN w USING (factor), (SELECT count(*) AS n FROM w) GROUP BY 1, 2",
+    )
+    q["enhancement_report"] = (
+        lambda s, d: rd(enhanced(s, d)[1]),
+        f"WITH {ENHANCED} SELECT 'quality' AS step, factor, {r('ic_mean')}, {r('icir')}, {r('win_rate')}, abs(stats.ic_mean) >= 0.004 AS kept, NULL::DOUBLE AS weight FROM stats UNION ALL SELECT 'combination', factor, {r('ic_mean')}, {r('icir')}, {r('win_rate')}, NULL, {r('weight')} FROM stats JOIN w USING (factor)",
+    )
+    # smaller pieces
+    q["label_series"] = (lambda s, d: rd(dg.label_series(panel(s, d), 3, 2)), f"WITH {PANEL} SELECT date, ticker, {r('lead(adj_close, 5) OVER o / nullif(lead(adj_close, 2) OVER o, 0) - 1', 'label')} FROM panel WINDOW o AS (PARTITION BY ticker ORDER BY date)")
+    q["rolling_rank_ic"] = (
+        lambda s, d: rd(dg.rolling_rank_ic(predictions(s, d), labels(s, d))),
+        f"WITH {PANEL}, {WIDE}, {LONG}, {LABELS}, {RANKS}, {ic_sql(least=2)} SELECT date, {r('ic', 'rank_ic')}, {r('CASE WHEN count(ic) OVER w >= 20 THEN avg(ic) OVER w END', 'rank_ic_roll')} FROM ics WHERE factor = 'mom20' WINDOW w AS (ORDER BY date ROWS 59 PRECEDING)",
+    )
+    monthly = lambda s, d: pf.benchmark_returns(panel(s, d)).withColumn("m", F.last_day("date")).groupBy("m").agg(F.max("date").alias("date"), F.max_by("benchmark_return", "date").alias("benchmark_return")).select("date", "benchmark_return")
+    q["aligned_benchmark"] = (
+        lambda s, d: rd(pf.aligned_series(net(s, d).select("date", "net_return"), monthly(s, d), "benchmark_return")),
+        f"WITH {ALL}, {BENCH}, m AS (SELECT max(date) AS date, arg_max(benchmark_return, date) AS x FROM bench GROUP BY last_day(date)) SELECT n.date, {r('n.net_return', 'net_return')}, {r('coalesce((SELECT arg_max(x, m.date) FROM m WHERE m.date <= n.date AND x IS NOT NULL), 0)', 'benchmark_return')} FROM net n",
+    )
+    q["covariance_ridged"] = (
+        lambda s, d: rd(rk.ridged_covariance(rk.previous_covariance(rk.factor_returns(wide(s, d), labels(s, d), STYLES))), digits=4),
+        f"WITH {PANEL}, {WIDE}, {LABELS}, {OLS}, {FR}, {PREV}, m AS (SELECT date, max(covariance) FILTER (style_a = 'mom20' AND style_b = 'mom20') AS a, max(covariance) FILTER (style_a <> style_b) AS b, max(covariance) FILTER (style_a = 'vol20' AND style_b = 'vol20') AS c FROM prev GROUP BY date), e AS (SELECT date, (a + c) / 2 AS h, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l FROM m), f AS (SELECT date, h, (2 * h - l) * 1e12 < l AS ridged FROM e) SELECT date, style_a, style_b, {r('covariance + CASE WHEN ridged AND style_a = style_b THEN 1e-6 * h ELSE 0 END', 'covariance', 4)}, ridged FROM prev JOIN f USING (date)",
+    )
     return q

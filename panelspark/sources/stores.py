@@ -25,6 +25,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{path}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what follows starts from these files, on any executor, and
+    the steps before run once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """A table of (date, ticker) rows under a path, in one folder for each date.
 
