@@ -261,3 +261,39 @@ def test_double_array():
     assert trie.top < 1.5 * len(cells) + 100
     with pytest.raises(KeyError):
         trie.path([31])
+
+
+# --- 6 near-duplicate passages: classes of edited copies
+
+
+@pytest.mark.parametrize("kind", ["first", "last", "chain"])
+def test_classes_of_edited_copies(spark, kind):
+    """Groups of copies of 80 words with two words changed each, alike to the original alone, which stands first or last; and
+    copies of copies. At least 0.9 of all near pairs (of all texts against all) end in one class."""
+    from panelspark.llm import passages
+
+    rng, docs, groups = random.Random(1), [], []
+    for g in range(4):
+        base = [f"g{g}w{rng.randint(0, 10**9)}" for _ in range(80)]
+
+        def edited(words):
+            words = list(words)
+            for k in rng.sample(range(80), 2):
+                words[k] = f"e{rng.randint(0, 10**9)}"
+            return words
+
+        own = [base]
+        for _ in range(40):
+            own.append(edited(base if kind != "chain" else rng.choice(own)))
+        own = own[::-1] if kind == "last" else own
+        groups.append(range(len(docs), len(docs) + 41))
+        docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate(own)]
+    rows = passages.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "class_id").distinct().collect()
+    found = {r.doc_id: r.class_id for r in rows}
+    sets = []
+    for _, t in docs:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    near = [(a, b) for own in groups for a in own for b in own if b < a and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    assert len(near) > 100 and sum(found.get(a, -1) == found.get(b, -2) for a, b in near) >= 0.9 * len(near)
+    assert all(any(i in own and c in own for own in groups) for i, c in found.items())
