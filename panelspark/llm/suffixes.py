@@ -7,8 +7,8 @@ a run; a run's bytes are its context. Only runs whose anchor occurs elsewhere to
 Suffixes are bucketed by anchor and a bucket is sorted in blocks of bounded size. Suffixes that agree on
 their first V bytes are compared by the ranks of a difference-cover sample of the block, at the first
 offset that leads both to the sample; the ranks are found before by doubling. Neighbours in that order that
-agree on LENGTH bytes are repeats. An anchor of very many runs is split by the bytes next to it, and of very
-many equal contexts only the earliest takes part in the sorting.
+agree on LENGTH bytes are repeats. An anchor of very many runs is split by the bytes next to it, and of
+equal contexts only the earliest takes part in the sorting.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -217,7 +218,14 @@ def sort_block(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def repeats(group: pa.Table) -> pa.Table:
-    """Of contexts with the same anchors: the starts whose string occurs earlier, as marks."""
+    """Of contexts with the same anchors: the starts whose string occurs earlier, as marks. Rows without context are
+    known to repeat."""
+    known = group.filter(pa.compute.is_null(group.column("context")))
+    if len(known):
+        n, cols = len(known), {c: known.column(c) for c in ("hash", "doc", "sub", "at", "n", "off")}
+        void = pa.array(np.zeros(n, bool))
+        done = pa.table([void, void, *cols.values()], names=["open", "many", *cols])
+        return pa.concat_tables([done, repeats(group.filter(pa.compute.is_valid(group.column("context"))))]) if n < len(group) else done
     rows = group.sort_by([("hash", "ascending"), ("doc", "ascending"), ("sub", "ascending"), ("at", "ascending")])
     hashes, docs, subs, ats, ns, offs = (rows.column(c).to_numpy() for c in ("hash", "doc", "sub", "at", "n", "off"))
     contexts = [x.as_py() for x in rows.column("context")]
@@ -280,7 +288,9 @@ def joined_starts(r: np.ndarray) -> np.ndarray:
 def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The bytes of the open runs: hash, doc, sub, at, n, off (of the anchor), context. Runs of an anchor
     with very many are cut where the anchor's offset passes a multiple of WIDE, and the hash is that of the
-    bytes which all strings of the cut hold: equal strings have equal offsets, so they stay together."""
+    bytes which all strings of the cut hold: equal strings have equal offsets, so they stay together. Of cuts
+    with the same bytes in a batch only the earliest keeps its context; the others, whose starts all repeat it,
+    come without, so that a hot passage sends its bytes once for each batch and not for each document."""
     wanted = stored(marks.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("hash", "many", "at", "n", "off")).alias("wanted")), "wanted")
 
     def cuts(x: dict, text: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -299,10 +309,20 @@ def contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, first = [], {}
             for doc, sub, text, wanted in zip(*(batch.column(c) for c in ("doc", "sub", "text", "wanted")), strict=True):
                 doc, sub, text = doc.as_py(), sub.as_py(), text.as_py()
-                rows += [(h, doc, sub, at, n, off, part) for x in wanted.as_py() for h, at, n, off, part in cuts(x, text)]
+                for x in wanted.as_py():
+                    for h, at, n, off, part in cuts(x, text):
+                        if x["many"]:
+                            old = first.setdefault((h, part), len(rows))
+                            if old < len(rows):
+                                if (doc, sub, at) < rows[old][1:4]:  # the earlier one keeps the bytes
+                                    first[h, part] = len(rows)
+                                    rows[old] = (*rows[old][:6], None)
+                                else:
+                                    part = None
+                        rows.append((h, doc, sub, at, n, off, part))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["hash", "doc", "sub", "at", "n", "off", "context"])
 
@@ -316,6 +336,8 @@ def removals(docs: DataFrame, equal: int = EQUAL, many: int = RUNS) -> DataFrame
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (64 << 20))
     marks = stored(scattered(docs, buckets, equal).groupBy("bucket").applyInArrow(lambda t: judged(t, equal, many), MARKS), "marks")
     bucket = F.pmod("hash", F.lit(buckets))
+    # rows that are known to repeat are spread evenly
+    bucket = F.when(F.col("context").isNotNull(), bucket).otherwise(-1 - F.pmod(F.xxhash64("doc", "at"), F.lit(buckets)))
     more = contexts(docs, marks).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: repeats(t), MARKS)
     found = marks.where("not open").unionAll(more)
 

@@ -506,6 +506,23 @@ def test_suffixes_of_hot_anchors(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_hot_passage_sends_few_contexts(spark):
+    """A line in many documents, each with surroundings of its own: of the pieces that lie in the line alone, a batch of
+    documents sends one, and the others are known to repeat it."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    letters = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    texts = [(i, letters(60) + line + letters(60)) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    own = suffixes.numbered(docs)
+    marks = suffixes.scattered(own, 8, 1).groupBy("bucket").applyInArrow(lambda t: suffixes.judged(t, 1, 100), suffixes.MARKS)
+    rows = suffixes.contexts(own, marks).groupBy("hash").agg(F.count("*").alias("n"), F.count("context").alias("sent"), F.countDistinct("context").alias("different")).collect()
+    hot = [r for r in rows if r.n >= 1500]
+    assert hot and all(r.sent <= 4 * r.different for r in hot) and min(r.sent for r in hot) <= 4
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(docs, many=100).collect()}
+    assert got == brute_suffixes(texts)
+
+
 def test_suffixes_odd(odd, empty):
     got = suffixes.deduplicate(odd, keep_text=True).collect()
     assert len(got) == odd.count() and suffixes.deduplicate(empty).count() == 0
