@@ -13,6 +13,7 @@ from panelspark.sources.panel import bars, densify, grid_sql
 
 FACTORS = {"mom20": al.C / al.lag(20, al.C) - 1, "rev5": -(al.C / al.lag(5, al.C) - 1), "vol20": al.sd(20, al.r), "liq20": al.V / al.m(20, al.V), "range1": (al.H - al.L) / al.C}
 NAMES = list(FACTORS)
+BUCKETS = {"Momentum": ["mom20", "rev5"], "Volatility": ["vol20", "range1"], "Liquidity": ["liq20"]}
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from panelspark.operators import trades as tr
 from panelspark.sources.panel import bars, bars_sql, densify, grid_sql, table
 
 from . import portfolios as pl
-from .base import LABELS, NAMES, PANEL, WIDE, LONG, labels, long, panel, r, rd, rs, wide
+from . import twins as tw
+from .base import BUCKETS, LABELS, NAMES, PANEL, WIDE, LONG, labels, long, panel, r, rd, rs, wide
 
 FILLS = "fills AS MATERIALIZED (SELECT event_id AS exec_id, CAST(user_id AS VARCHAR) AS account, event_type AS symbol, CASE WHEN event_id % 3 = 0 THEN 'BOT' WHEN event_id % 3 = 1 THEN 'SLD' ELSE 'buy' END AS side, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, value AS price, ts AS time FROM events)"
 COMMISSIONS = "commissions AS (SELECT event_id AS exec_id, value * 0.001 AS commission FROM events WHERE event_id % 2 = 0)"
@@ -132,9 +133,9 @@ def entries() -> dict[str, tuple]:
         lambda s, d: rd(rk.factor_returns(wide(s, d), labels(s, d), ["mom20"]), digits=5),
         f"WITH {R}, j AS (SELECT date, mom20 AS x, label AS y FROM wide JOIN labels USING (date, ticker) WHERE mom20 IS NOT NULL AND label IS NOT NULL) SELECT date, 'mom20' AS style, {r('regr_slope(y, x)', 'factor_return', 5)} FROM j GROUP BY date HAVING count(*) > 2",
     )
-    q["bucket_scores"] = (lambda s, d: rk.bucket_scores(wide(s, d), {"Momentum": ["mom20", "rev5"], "Volatility": ["vol20", "range1"], "Liquidity": ["liq20"]}), None)
-    q["orthogonal_styles"] = (lambda s, d: rk.orthogonal(wide(s, d), ["mom20", "vol20", "liq20"]), None)
-    q["ta_recursive"] = (lambda s, d: ti.recursive(bars(s, d)), None)
+    q["bucket_scores"] = (lambda s, d: rd(rk.bucket_scores(wide(s, d), BUCKETS), digits=5), tw.bucket_scores_sql(BUCKETS))
+    q["orthogonal_styles"] = (lambda s, d: rd(rk.orthogonal(wide(s, d), ["mom20", "vol20", "liq20"])), tw.orthogonal_sql(["mom20", "vol20", "liq20"]))
+    q["ta_recursive"] = (lambda s, d: rd(ti.recursive(bars(s, d)), digits=5), tw.recursive_sql())
     return q
 
 

@@ -17,8 +17,9 @@ from panelspark.sources.panel import bars, bars_sql, grid_sql
 
 from . import jobs
 from . import portfolios as pl
-from .base import FACTORS, LABELS, LONG, NAMES, PANEL, WIDE, ic_sql, labels, long, panel, r, rd, rs, wide
-from .research import IC, SUMMARY_SQL, ics
+from . import twins as tw
+from .base import BUCKETS, FACTORS, LABELS, LONG, NAMES, PANEL, WIDE, ic_sql, labels, long, panel, r, rd, rs, wide
+from .research import IC, QUANTILE, SUMMARY_SQL, ics
 
 ICS = f"{IC}, {ic_sql()}, summary AS MATERIALIZED ({SUMMARY_SQL}), sampled AS MATERIALIZED (SELECT factor, stddev_samp(ic) AS ic_std_sample FROM ics GROUP BY factor)"
 STYLES = ["mom20", "vol20"]
@@ -135,8 +136,8 @@ def entries() -> dict[str, tuple]:
     ok = lambda e, n: r(f"CASE WHEN count(*) >= 100 THEN coalesce({e}, 0) ELSE 0.0 END", n, 5)
     q["information_kept"] = (lambda s, d: rd(cb.information_kept(long(s, d), rd(cl.zscore(long(s, d)), digits=12)), digits=5), f"WITH {PANEL}, {WIDE}, {LONG}, {z.replace('AS after', 'AS a0').replace('zs AS (', 'zs AS (SELECT date, ticker, factor, round(a0, 12) AS after FROM (')}), {kept} SELECT factor, {ok('corr(value, after)', 'pearson')}, {ok('corr(x, y)', 'spearman')}, {ok('stddev_samp(after) / nullif(stddev_samp(value), 0)', 'std_ratio')}, count(*) AS samples FROM k GROUP BY factor")
     how = {"none": lambda x: x, "zscore": cl.zscore, "rank": cl.rank_normalize, "winsorize": cl.winsorize}
-    q["compared_processing"] = (lambda s, d: cb.compared_processing(long(s, d), how).select("method", "factor", "samples"), f"WITH {PANEL}, {WIDE}, {LONG} SELECT method, factor, count(value) AS samples FROM long, (VALUES ('none'), ('zscore'), ('rank'), ('winsorize')) m(method) GROUP BY 1, 2")
-    q["orthogonal_by_ic"] = (lambda s, d: rk.orthogonal(wide(s, d), cb.ic_order(dg.ic_summary(ics(s, d))), unit=False), None)
+    q["compared_processing"] = (lambda s, d: rd(cb.compared_processing(long(s, d), how), digits=5), tw.compared_sql(QUANTILE))
+    q["orthogonal_by_ic"] = (lambda s, d: rd(rk.orthogonal(wide(s, d), cb.ic_order(dg.ic_summary(ics(s, d))), unit=False)), tw.orthogonal_by_ic_sql(ICS, NAMES))
     q["principal_components"] = (lambda s, d: cb.principal_components(wide(s, d), NAMES), None)
     # covariances and weights
     q["covariance_sample"] = (lambda s, d: rd(cv.sample_covariance(returns(s, d)), digits=6), f"WITH {PAIRS} SELECT ticker_a, ticker_b, {r('covar_samp(x, y)', 'covariance', 6)} FROM pairs GROUP BY 1, 2")
@@ -170,7 +171,7 @@ def entries() -> dict[str, tuple]:
         lambda s, d: rd(rk.risk_shares(rk.portfolio_exposure(scores(s, d), pl.weights(s, d)), rk.ewma_covariance(fr(s, d)), 0.01), digits=3),
         f"WITH {pl.W5}, {LONG}, {OLS}, {FR}, {EXPO}, {last}, v AS (SELECT a.date, a.style, sum(a.exposure * covariance * b.exposure) AS v FROM expo a JOIN cov ON style_a = a.style JOIN expo b ON b.date = a.date AND style_b = b.style GROUP BY 1, 2), t AS (SELECT *, sum(v) OVER (PARTITION BY date) + 0.01 AS total FROM v) SELECT date, style, {r('100 * v / total', 'contribution', 3)}, {r('1.0 / total', 'specific', 3)} FROM t WHERE total > 0",
     )
-    q["walk_forward_linear"] = (lambda s, d: md.walk_forward(wide(s, d).join(labels(s, d), ["date", "ticker"]), ["mom20", "vol20"], "label", 3, kind="linear"), None)
+    q["walk_forward_linear"] = (lambda s, d: rd(md.walk_forward(wide(s, d).join(labels(s, d), ["date", "ticker"]), ["mom20", "vol20"], "label", 3, kind="linear"), digits=5), tw.walk_forward_sql("mom20", "vol20", 3))
     trades = lambda s, d: bars(s, d).groupBy("ticker").agg(F.max_by("adj_close", "date").alias("price"), F.count("*").alias("n"))
     q["trade_deltas"] = (
         lambda s, d: rd(tr.trade_deltas(trades(s, d).where("n % 2 = 0").select(F.lit("x").alias("account"), "ticker", F.lit(0.04).alias("weight"), "price", F.lit(1).alias("ord")), trades(s, d).where("n % 3 = 0").select(F.lit("x").alias("account"), "ticker", F.col("n").cast("double").alias("shares")), 1e6, 1e9)),
@@ -184,12 +185,12 @@ def entries() -> dict[str, tuple]:
         lambda s, d: rd(rk.regression_exposure(long(s, d), scores(s, d, ["mom20"]), ["mom20"]), digits=4),
         f"WITH {PANEL}, {WIDE}, {LONG}, j AS (SELECT date, factor, regr_slope(value, mom20) AS b FROM long JOIN wide USING (date, ticker) WHERE value IS NOT NULL AND mom20 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) SELECT factor, 'mom20' AS style, {r('avg(b)', 'exposure', 4)} FROM j GROUP BY factor",
     )
-    q["regression_exposure_two"] = (lambda s, d: rk.regression_exposure(long(s, d), scores(s, d), STYLES), None)
+    q["regression_exposure_two"] = (lambda s, d: rd(rk.regression_exposure(long(s, d), scores(s, d), STYLES), digits=4), tw.regression_exposure_sql(*STYLES))
     q["unweighted_exposure"] = (
         lambda s, d: rd(rk.unweighted_exposure(long(s, d)), digits=5),
         f"WITH {PANEL}, {WIDE}, {LONG}, z AS (SELECT date, factor, (value - avg(value) OVER g) / nullif(stddev_samp(value) OVER g, 0) AS z FROM long WHERE value IS NOT NULL WINDOW g AS (PARTITION BY date, factor)) SELECT date, factor, {r('median(z)', 'exposure', 5)}, {r('var_samp(z)', 'variance', 5)} FROM z GROUP BY 1, 2",
     )
-    q["fixed_structure_scores"] = (lambda s, d: rk.applied_structure(wide(s, d), rk.fixed_structure(wide(s, d), {"Momentum": ["mom20", "rev5"], "Volatility": ["vol20", "range1"], "Liquidity": ["liq20"]}, "1995-06-01")), None)
+    q["fixed_structure_scores"] = (lambda s, d: rd(rk.applied_structure(wide(s, d), rk.fixed_structure(wide(s, d), BUCKETS, "1995-06-01")), digits=5), tw.fixed_structure_sql(BUCKETS, "1995-06-01"))
     # stores and jobs
     q["prices_table"] = (lambda s, d: rd(jobs.as_table(bars(s, d)).sparkSession.sql("SELECT ticker, count(*) AS bars, max(close) AS high FROM prices GROUP BY ticker")), f"SELECT ticker, count(*) AS bars, {r('max(close)', 'high')} FROM ({bars_sql()}) GROUP BY ticker")
     q["training_medians"] = (lambda s, d: rd(jobs.medians(wide(s, d), NAMES)), f"WITH {PANEL}, {WIDE} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {k} AS ord, {r(f'median({c})', 'median')} FROM wide" for k, c in enumerate(NAMES)))

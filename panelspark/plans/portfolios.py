@@ -9,6 +9,7 @@ from panelspark.operators import models as md
 from panelspark.operators import performance as pf
 from panelspark.operators import sequential as sq
 
+from . import twins as tw
 from .base import LABELS, PANEL, WIDE, labels, panel, r, rd, rs, wide
 
 W5 = f"{PANEL}, {WIDE}, {LABELS}, w5 AS MATERIALIZED (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom20 DESC, ticker) AS k FROM wide WHERE mom20 IS NOT NULL) WHERE k <= 5)"
@@ -87,7 +88,7 @@ def entries() -> dict[str, tuple]:
         f"WITH {ALL}, x AS (SELECT {r('net_return', 'v', 8)} FROM net), l AS (SELECT min(v) AS a, max(v) AS b FROM x) SELECT CAST(CASE WHEN b > a THEN least(floor((v - a) / ((b - a) / 50)), 49) ELSE 0 END AS INTEGER) AS bin, count(*) AS n, {r('min(a + CASE WHEN b > a THEN least(floor((v - a) / ((b - a) / 50)), 49) ELSE 0 END * ((b - a) / 50))', 'low', 5)} FROM x, l GROUP BY 1",
     )
     scored = lambda s, d: wide(s, d).select("date", "ticker", F.col("mom20").alias("prediction"), "rev5")
-    q["top_k_dropout"] = (lambda s, d: sq.top_k_dropout(scored(s, d).withColumn("strategy", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("prediction", F.when(F.col("strategy") == "a", F.col("prediction")).otherwise(F.col("rev5"))), 5, 2), None)
+    q["top_k_dropout"] = (lambda s, d: sq.top_k_dropout(scored(s, d).withColumn("strategy", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("prediction", F.when(F.col("strategy") == "a", F.col("prediction")).otherwise(F.col("rev5"))), 5, 2), tw.dropout_sql(5, 2))
     q["score_ndcg"] = (
         lambda s, d: rd(md.ndcg(dg.quantile_label(labels(s, d), 5).join(scored(s, d), ["date", "ticker"]), 10)),
         f"WITH {PANEL}, {WIDE}, {LABELS}, b AS (SELECT date, ticker, CASE WHEN label IS NOT NULL AND n >= 2 THEN greatest(ceil((k - 1) * least(5, n) / (n - 1.0)) - 1, 0) END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY label NULLS LAST, ticker) AS k, count(label) OVER (PARTITION BY date) AS n FROM labels)), x AS (SELECT date, bin, row_number() OVER (PARTITION BY date ORDER BY mom20 DESC, ticker) AS p, row_number() OVER (PARTITION BY date ORDER BY bin DESC, ticker) AS t FROM b JOIN wide USING (date, ticker) WHERE bin IS NOT NULL AND mom20 IS NOT NULL) SELECT date, {r('sum(CASE WHEN p <= 10 THEN (pow(2, bin) - 1) / log2(p + 1) END) / nullif(sum(CASE WHEN t <= 10 THEN (pow(2, bin) - 1) / log2(t + 1) END), 0)', 'ndcg')} FROM x GROUP BY date",
