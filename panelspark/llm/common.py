@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,17 @@ def give_back() -> None:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string, nothing else: extra columns, whatever their names, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sampled(docs: DataFrame, most: int, most_bytes: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What a model is fitted on: doc_id, text and the extra columns of at most `most` different rows and `most_bytes`
+    bytes of text, whole texts all. Rows come in the order of the hash of doc_id, as long as the sum of their bytes stays
+    within the bound; a text of more than a sixteenth of it is left out, as are rows without doc_id, and
+    equal rows count once. What is broadcast and what comes out are so bounded, whatever the table holds."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).where("doc_id is not null")
+    keyed = own.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("_h"))
+    first = keyed.where(F.col("_n") <= most_bytes // 16).select("doc_id", "_h", "_n").distinct().orderBy(*order).limit(most)
+    so_far = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # at most `most` short rows
+    chosen = first.withColumn("_s", so_far).where(F.col("_s") <= most_bytes).select("doc_id", "_h")
+    return keyed.join(F.broadcast(chosen), ["doc_id", "_h"]).groupBy("doc_id", "_h", *extra).agg(F.first("text").alias("text")).drop("_h")

@@ -20,16 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import sampled, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field knows a further kind: passwords, keys and tokens.
 ALL_KINDS = (*KINDS, "secret")
-#: The field is fitted on at most so many documents (those with the smallest hash of doc_id) and tokens.
-TRAIN_DOCS, TRAIN_TOKENS = 20_000, 100_000
+#: The field is fitted on at most so many documents (those with the smallest hash of doc_id), bytes of their texts (see
+#: common.sampled) and tokens.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_TOKENS = 20_000, 128_000_000, 100_000
 #: Rounds of message passing; the least marginal with which a token is added.
 ROUNDS, SURE = 8, 0.6
 
@@ -311,37 +312,36 @@ def added_spans(text: str, field: SkipChainField, base: list[tuple[int, int, int
     return out
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> SkipChainField:
-    """Fits the field on the tokens of at most `most` documents and TRAIN_TOKENS tokens, labelled by the
-    base spans and named secrets, as they are and perturbed. Texts are whole; only how many documents teach
-    the field is bounded."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def train(docs: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, most_tokens: int = TRAIN_TOKENS) -> SkipChainField:
+    """Fits the field on the tokens of at most `most` documents with `most_bytes` bytes and `most_tokens` tokens (the
+    last document may go beyond that, a document of more tokens is left out), labelled by the base spans and
+    named secrets, as they are and perturbed. Texts are whole; only how many documents teach the field is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
         for batch in batches:
-            keep_id, keep = [], []
+            keep_id, keep_n, keep = [], [], []
             for i, t in zip(batch.column("doc_id"), batch.column("text")):
                 t = t.as_py() or ""
                 if CANDIDATE.search(t):
                     spans = base_spans(t)
                     for own in dict.fromkeys((t, perturbed(t, spans))):
                         toks = tokens_of(own)
+                        if len(toks) > most_tokens:
+                            continue
                         f, near, shapes = features_of(toks, own)
                         keep_id.append(i.as_py())
+                        keep_n.append(len(toks))
                         keep.append(pickle.dumps((f, near, skip_edges(toks, shapes), weak_labels(toks, sorted(spans + named_secrets(own)), own))))
-            yield pa.RecordBatch.from_arrays([pa.array(keep_id, pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep_id, pa.int64()), pa.array(keep_n, pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "n", "x"])
 
     import pickle
 
-    rows = texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, x binary").collect()
-    got, n = [], 0
-    for d in (pickle.loads(bytes(r.x)) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))):
-        if n < TRAIN_TOKENS:
-            got.append(d)
-            n += len(d[0])
-    return SkipChainField().fit(got)
+    # the window passes over the tokens of the sample, and what is collected has fewer than twice most_tokens
+    before = F.coalesce(F.sum("n").over(Window.orderBy("doc_id", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = sampled(docs, most, most_bytes).mapInArrow(run, "doc_id long, n long, x binary").withColumn("before", before).where(F.col("before") < most_tokens).select("doc_id", "x").collect()
+    return SkipChainField().fit([pickle.loads(bytes(r.x)) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, table, texts
+from .common import give_back, sampled, table, texts
 
 #: Bytes of UTF-8 in a passage; the last one of a text is shorter.
 PASSAGE_BYTES = 512
-#: The model is fitted on at most so many labelled documents, those with the smallest hash of doc_id.
-TRAIN_DOCS = 4000
+#: The model is fitted on at most so many labelled documents, those with the smallest hash of doc_id, and so many bytes
+#: of their texts (see common.sampled).
+TRAIN_DOCS, TRAIN_BYTES = 4000, 64_000_000
 THRESHOLD = 0.3
 #: Bytes of text whose features are computed together; a byte takes some 40 bytes of memory meanwhile.
 BLOCK_BYTES = 1_000_000
@@ -151,9 +152,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> AttentionModel:
-    """Fits the model on at most `most` labelled documents, never a held-out one: those whose doc_id has
-    the smallest hash. Rows without doc_id or quality are left out; of repeated labels the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> AttentionModel:
+    """Fits the model on at most `most` labelled documents and `most_bytes` bytes of text, never a held-out one: those whose
+    doc_id has the smallest hash. Rows without doc_id or quality are left out; of repeated labels the largest counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     own = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -168,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Attenti
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "quality", "x"])
                 at += len(block)
 
-    # at most TRAIN_DOCS ids, so the broadcast and what is collected are bounded
-    rows = texts(docs).join(F.broadcast(own), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary").collect()
+    # at most `most` ids are broadcast, and the features of at most most_bytes bytes collected
+    rows = sampled(texts(docs).join(F.broadcast(own), "doc_id"), most, most_bytes, ("quality",)).mapInArrow(features, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     bags = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)

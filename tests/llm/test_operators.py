@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, fingerprints, html_text, minhash, passages, pii, quality, shingles, suffixes
+from panelspark.llm import bpe, chat, common, decontaminate, fingerprints, html_text, minhash, passages, pii, quality, shingles, suffixes
 
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, key long, n int, hash string, sub int, bucket int"
@@ -291,6 +291,55 @@ def test_pii_skip_edges_change_labels(spark):
     assert spans[1].n_spans == 0
 
 
+def test_training_samples_are_bounded(spark, odd, empty):
+    """Whole texts within both bounds, in the order of the hash; long texts, rows without doc_id and repeats stay out."""
+    rows = [(i, "w" * (50 + i % 7)) for i in range(300)] + [(7, "w" * 50)] * 500 + [(1000, "x" * 2000), (None, "y"), (None, None), (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = common.sampled(docs, 10_000, 16_000).collect()
+    assert 14_000 < sum(len(x.text or "") for x in got) <= 16_000
+    assert len(got) == len({(x.doc_id, x.text) for x in got}) and {(x.doc_id, x.text) for x in got} <= set(rows)
+    assert 1000 not in {x.doc_id for x in got} and None not in {x.doc_id for x in got}
+    assert common.sampled(docs, 40, 10**9).count() == 40
+    assert {x.doc_id for x in common.sampled(docs, 40, 10**9).collect()} == {x.doc_id for x in common.sampled(docs.repartition(3), 40, 10**9).collect()}
+    assert common.sampled(docs, 10_000, 10**9).count() == len({x for x in rows if x[0] is not None})
+    assert common.sampled(empty, 10, 10).count() == 0 and common.sampled(odd, 10_000, 10**9).where("doc_id is null").count() == 0
+
+
+def test_pii_training_is_bounded_in_tokens(spark):
+    docs = spark.createDataFrame([(i, "call +1 (212) 555-%04d now" % i) for i in range(100)] + [(1000, "1 " * 5000)], "doc_id long, text string")
+    text = "call +1 (212) 555-0001 now"
+    few, all_ = pii.train(docs, most_tokens=60), pii.train(docs)
+    assert pii.base_spans(text) and (few.unary != all_.unary).any()
+    same = pii.train(docs.unionAll(docs).repartition(5))
+    assert (same.unary == all_.unary).all() and (same.edges == all_.edges).all()
+
+
+def test_pii_catches_planted_values_and_leaves_clean_documents(spark):
+    """On documents that the field was not fitted on: what share of planted values that the patterns miss is found,
+    and how many of the added spans are planted ones."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda good: next(c for c in iter(lambda: "4" + digits(15), "") if pii.luhn(c) == good)
+    code = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(19)) + "7"
+    words = "the meeting on day {0} had {1} people, version 2.{2}, page {1}{0} of 19{0}{2}; order no 7{1}{2} came at {0}:{1}. ".format
+    clean = lambda: words(rng.randint(10, 28), rng.randint(10, 59), rng.randint(10, 99))
+    fit = [(i, f'{clean()}token = "{code()}" and pay {card(True)} or call +1 (212) 555-{digits(4)}. {clean()}') for i in range(400)]
+    field = pii.train(spark.createDataFrame(fit, "doc_id long, text string"))
+    rows, planted = [], {}
+    for i in range(300):
+        value = (card(False), f"+1 (646) 555-{digits(4)} {card(True)}", code())[i % 3]
+        named = f'token = "{value}" and {clean()}' if i % 3 == 2 else ""
+        text = f"{clean()}{named}pay {value} now. {clean()}" if i % 3 < 2 else f"{clean()}{named}it was there that {value} came. {clean()}"
+        rows.append((i, text))
+        planted[i] = (text.rindex(value), text.rindex(value) + len(value))
+    rows += [(1000 + i, clean() * 3) for i in range(300)]
+    found = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    caught = sum(any(a < e and b > s for a, e in found[i]) for i, (s, b) in planted.items())
+    wrong = sum(len(found[1000 + i]) for i in range(300))
+    assert caught >= 0.9 * len(planted), caught
+    assert wrong == 0, wrong
+
+
 # --- 5 quality
 
 
@@ -379,14 +428,14 @@ def test_minhash_pair_behind_unlike_centres(spark):
     b = a[:695] + [f"z{i}" for i in range(105)]
     regs = lambda w: minhash.registers(minhash.shingle_set(" ".join(w))).reshape(minhash.BANDS, -1)
     bands = lambda w, k: (regs(w)[k] == regs(a)[k]).all()
-    common = [k for k in range(minhash.BANDS) if bands(b, k)]
+    shared = [k for k in range(minhash.BANDS) if bands(b, k)]
     least = {}
     for i in range(691):
         h = int(minhash.shingle_set(" ".join(a[i : i + 5]))[0])
         least[h % 128] = min(least.get(h % 128, (1 << 64, 0)), (h >> 12, i))
     rows = [(1, " ".join(a)), (2, " ".join(b))]
-    assert (regs(a)[common] != minhash.EMPTY).all()
-    for k in common:
+    assert (regs(a)[shared] != minhash.EMPTY).all()
+    for k in shared:
         other = lambda n: [f"h{k}x{rng.randint(0, 1 << 40)}" for _ in range(n)]
         quoting = lambda: [w for x in range(4 * k, 4 * k + 4) for w in a[least[x][1] : least[x][1] + 5] + other(1)]
         hub = next(w for w in (quoting() + other(40) for _ in range(10_000)) if bands(w, k))
@@ -394,7 +443,7 @@ def test_minhash_pair_behind_unlike_centres(spark):
         good = [w for w in copies if bands(w, k)][:14]
         rows += [(len(rows) + i + 1, " ".join(w)) for i, w in enumerate(good)]
     want = brute_components(rows)
-    assert common and want[2] == 1 and want[3] == 3
+    assert shared and want[2] == 1 and want[3] == 3
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
