@@ -159,10 +159,9 @@ def entries() -> dict[str, tuple]:
     raw_sql = "raw AS (SELECT date, ticker, CASE WHEN month(date) = 2 THEN 0.0 ELSE weight * length(ticker) END AS weight FROM w5), dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM (SELECT DISTINCT date FROM panel)), us AS (SELECT date, ticker, CASE WHEN coalesce(n, 0) < 30 OR t <= 0 THEN 1.0 / k ELSE weight / t END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY date) AS t, count(*) OVER (PARTITION BY date) AS k FROM raw LEFT JOIN dn USING (date)))"
     q["weights_usable"] = (lambda s, d: rd(cv.usable(raw(s, d), panel(s, d))), f"WITH {pl.W5}, {raw_sql} SELECT date, ticker, {r('weight')} FROM us")
     q["weight_diagnostics"] = (lambda s, d: rd(cv.weight_diagnostics(cv.usable(raw(s, d), panel(s, d)))), f"WITH {pl.W5}, {raw_sql} SELECT date, count(*) FILTER (weight > 0) AS names, {r('max(weight)', 'largest')}, {r('1 / nullif(sum(weight * weight), 0)', 'effective')} FROM us GROUP BY date")
-    q["weights_newest"] = (
-        lambda s, d: rd(cv.weights_for_newest(predictions(s, d), predictions(s, d).limit(0), 5, 2)),
-        f"WITH {PANEL}, {WIDE}, {PRED} SELECT date, ticker, 0.2 AS weight FROM pred WHERE date = (SELECT max(date) FROM pred) ORDER BY prediction DESC, ticker LIMIT 5",
-    )
+    earliest = lambda s, d: predictions(s, d).orderBy("date", F.desc("prediction"), "ticker").limit(5).select("ticker")
+    q["weights_newest"] = (lambda s, d: rd(cv.weights_for_newest(predictions(s, d), predictions(s, d).limit(0), 5, 2)), tw.newest_sql(5, 2, held=False))
+    q["weights_newest_held"] = (lambda s, d: rd(cv.weights_for_newest(predictions(s, d), earliest(s, d), 5, 2)), tw.newest_sql(5, 2, held=True))
     # risk
     q["factor_returns_ols"] = (lambda s, d: rd(rk.factor_returns(wide(s, d), labels(s, d), STYLES), digits=4), f"WITH {PANEL}, {WIDE}, {LABELS}, {OLS}, {FR} SELECT date, style, {r('factor_return', digits=4)} FROM fr")
     fr = lambda s, d: rk.factor_returns(wide(s, d), labels(s, d), STYLES)
@@ -212,9 +211,10 @@ def entries() -> dict[str, tuple]:
     q["date_span"] = (lambda s, d: jobs.date_span(bars(s, d)), f"SELECT min(date) AS first, max(date) AS last, count(DISTINCT date) AS dates FROM ({bars_sql()})")
     store = lambda s, d: panel(s, d).where("date < '1998-01-01'").select("date", "ticker")
     q["refresh_factors"] = (lambda s, d: rd(jobs.refresh_factors(panel(s, d), store(s, d), FACTORS, 25).select("date", "ticker", *NAMES)), f"SELECT date, ticker, {rs(*NAMES)} FROM ({to_sql(grid_sql(), FACTORS)}) WHERE date >= DATE '1998-01-01'")
+    scaled = ", ".join(r(f"({c} - avg({c}) OVER g) / (CASE WHEN stddev_pop({c}) OVER g > 1e-12 THEN stddev_pop({c}) OVER g ELSE 1 END)", c, 2) for c in NAMES)
     q["factor_build"] = (
-        lambda s, d: rd(jobs.build(panel(s, d), {"mom20": FACTORS["mom20"]}, pl.universe(s, d, 10).select("ticker"), "zscore"), digits=2),
-        f"WITH {PANEL}, u AS (SELECT p_brand AS ticker FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, 1 LIMIT 10), x AS (SELECT date, ticker, mom20 FROM ({to_sql(grid_sql(), FACTORS)}) SEMI JOIN u USING (ticker)) SELECT date, ticker, {r('(mom20 - avg(mom20) OVER g) / (CASE WHEN stddev_pop(mom20) OVER g > 1e-12 THEN stddev_pop(mom20) OVER g ELSE 1 END)', 'mom20', 2)} FROM x WINDOW g AS (PARTITION BY date)",
+        lambda s, d: rd(jobs.build(panel(s, d), FACTORS, pl.universe(s, d, 10).select("ticker"), "zscore"), digits=2),
+        f"WITH {PANEL}, u AS (SELECT p_brand AS ticker FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, 1 LIMIT 10), x AS (SELECT date, ticker, {', '.join(NAMES)} FROM ({to_sql(grid_sql(), FACTORS)}) SEMI JOIN u USING (ticker)) SELECT date, ticker, {scaled} FROM x WINDOW g AS (PARTITION BY date)",
     )
-    q["joined_columns"] = (lambda s, d: rd(jobs.joined_columns(old(s, d), old(s, d).withColumn("close", F.col("close") + 0).drop("close")).groupBy("ticker").agg(F.count("*").alias("n"), F.count("close").alias("known"))), f"SELECT ticker, 2 * count(*) AS n, count(close) AS known FROM ({bars_sql()}) WHERE date < DATE '1997-01-01' GROUP BY ticker")
+    q["joined_columns"] = (lambda s, d: rd(jobs.joined_columns(bars(s, d), bars(s, d).drop("close")).groupBy("ticker").agg(F.count("*").alias("n"), F.count("close").alias("known"))), f"SELECT ticker, 2 * count(*) AS n, count(close) AS known FROM ({bars_sql()}) GROUP BY ticker")
     return q

@@ -117,6 +117,19 @@ held(strategy, date, i, names) AS (
 SELECT strategy, date, unnest(names) AS ticker, 1.0::DOUBLE / len(names) AS weight FROM held WHERE i > 0"""
 
 
+def newest_sql(k: int, n_drop: int, held: bool) -> str:
+    """One step of top-k with dropout on the newest date, from no holdings or from the best names of the first date."""
+    before = f"(SELECT ticker FROM pred ORDER BY date, prediction DESC, ticker LIMIT {k})" if held else "(SELECT ticker FROM pred WHERE false)"
+    return f"""WITH {PANEL}, {WIDE}, pred AS MATERIALIZED (SELECT date, ticker, mom20 AS prediction FROM wide WHERE mom20 IS NOT NULL),
+newest AS (SELECT date, ticker, row_number() OVER (ORDER BY prediction DESC, ticker) AS place, ticker IN {before} AS own FROM pred WHERE date = (SELECT max(date) FROM pred)),
+sizes AS (SELECT *, count(*) FILTER (own) OVER () AS n_own, row_number() OVER (PARTITION BY own ORDER BY place) AS fresh FROM newest),
+asked AS (SELECT *, row_number() OVER (ORDER BY place DESC) AS worst FROM sizes WHERE own OR fresh <= {n_drop + k} - n_own),
+kept AS (SELECT *, own AND worst > {n_drop} AS stays FROM asked),
+chosen AS (SELECT *, count(*) FILTER (stays) OVER () AS n_kept FROM kept),
+final AS (SELECT date, ticker FROM chosen WHERE stays OR (NOT own AND fresh <= {k} - n_kept) ORDER BY place LIMIT {k})
+SELECT date, ticker, {r("1.0 / count(*) OVER ()", "weight")} FROM final"""
+
+
 def projected(source: str, columns: list[str], unit: bool) -> str:
     """CTEs that end in `free`: date, ticker and the columns, each less its projections on those before it, within a date.
     Rows with a null column and dates of one complete row are left out."""
