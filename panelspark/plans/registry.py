@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.panel import one_pass
+
 from . import book, extras, factors, portfolios, research, studies
 
 
@@ -12,7 +14,7 @@ def _entries() -> dict[str, tuple]:
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in _entries().items()}
+    return {name: one_pass(q) for name, (q, _) in _entries().items()}
 
 
 def oracles() -> dict:

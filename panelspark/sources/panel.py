@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stores import stored
+
 SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "adj_close", "volume"))])
 FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
 
@@ -61,8 +67,37 @@ def densify(panel: DataFrame, span_only: bool = False) -> DataFrame:
     return grid.select("date", "ticker").join(panel, ["date", "ticker"], "left")
 
 
+#: The bars that the query being built has made so far; None outside of one_pass().
+_MADE: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("made", default=None)
+
+
+def one_pass(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query with each kind of bars made once and stored: factors, labels and calendars start from the stored bars,
+    and so does every job of a query that runs many (fits of models, stores), instead of each aggregating the
+    lines again. Nothing is kept for the next call."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _MADE.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _MADE.reset(token)
+
+    return run
+
+
 def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame:
     """Weekly bars of unit prices from lineitem: by brand (dense) or by supplier (`l_suppkey`, gappy)."""
+    made = _MADE.get()
+    if made is None:
+        return _bars(spark, sf_dir, ticker)
+    if (sf_dir, ticker) not in made:
+        made[sf_dir, ticker] = stored(_bars(spark, sf_dir, ticker))
+    return made[sf_dir, ticker]
+
+
+def _bars(spark: SparkSession, sf_dir: str, ticker: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     if ticker == "p_brand":
         li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
