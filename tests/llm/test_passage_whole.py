@@ -97,3 +97,13 @@ def test_cells_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(passages, "CHUNK", 10)
     monkeypatch.setattr(passages, "LISTING", 50)
     assert classes(spark, texts) == whole and len(whole) >= 50
+
+
+def test_families_are_not_listed_pair_by_pair(monkeypatch):
+    """300 rows of one label with ten tokens in common, and one row of another: its 300 partners are listed, not the family's
+    45,000 pairs a token."""
+    monkeypatch.setattr(passages, "LISTING", 1_000)
+    rows, own, root = np.tile(np.arange(301), 10), np.repeat(np.arange(10), 301), np.zeros(301, np.int64)
+    root[300] = 1
+    found = list(passages.listed_pairs(rows, own, root))
+    assert len(found) <= 10 and {(min(p), max(p)) for a, b in found for p in zip(a.tolist(), b.tolist())} == {(k, 300) for k in range(300)}
